@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidepost.settings import WHITESPACE
+from tidepost.settings import UNICODE, WHITESPACE
 
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
              ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -22,7 +22,7 @@ def unescape_entities(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f"{UNICODE}[{WHITESPACE}]+", " "))
 
 
 def visible_text(html: Column) -> Column:

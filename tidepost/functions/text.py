@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidepost.settings import STOP_WORDS, WHITESPACE
+from tidepost.settings import STOP_WORDS, UNICODE, WHITESPACE
 
 
 def filled(text: Column) -> Column:
@@ -32,13 +32,13 @@ def letters_only(text: Column, keep_backslash: bool = False) -> Column:
     goes as well and backslashes stay, so a document becomes one long token.
     """
     if keep_backslash:
-        return F.regexp_replace(text, "[^a-zA-Z\\\\]", "")
-    return F.regexp_replace(text, f"[^a-zA-Z{WHITESPACE}]", "")
+        return F.regexp_replace(text, "[^a-zA-Z\\\\]++", "")
+    return F.regexp_replace(text, f"{UNICODE}[^a-zA-Z{WHITESPACE}]++", "")
 
 
 def tokens(text: Column) -> Column:
     """White-space tokens, never empty ones."""
-    return F.array_remove(F.split(text, f"[{WHITESPACE}]+"), "")
+    return F.array_remove(F.split(text, f"{UNICODE}[{WHITESPACE}]+"), "")
 
 
 def lowered_tokens(text: Column) -> Column:
@@ -96,6 +96,6 @@ def id_from_card(attribute: Column, href: Column) -> Column:
 
 def parse_rating(reply: Column) -> Column:
     """The reply as an integer, 0 where it is none."""
-    body = F.regexp_replace(reply, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    body = F.regexp_replace(reply, f"{UNICODE}^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
     digits = F.when(F.regexp_like(body, F.lit("^[+-]?[0-9]+$")), body)
     return F.coalesce(digits.try_cast("long"), F.lit(0).cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -51,22 +52,28 @@ def cosine_scores(vector: Column, anchors: Sequence[Sequence[float]]) -> Column:
     return scores(vector)
 
 
-def bucket_vector(buckets: Column, width: int) -> Column:
-    """``array<double>``: L2-normalised counts of the bucket numbers in an ``array<int>``."""
+def hashed_counts(words: Column, width: int) -> Column:
+    """``array<double>``: L2-normalised counts of an ``array<string>`` by md5 bucket.
+
+    Each distinct word of an Arrow batch is hashed once; counting is one ``bincount``.
+    """
 
     @F.arrow_udf("array<double>")
     def counted(lists: pa.Array) -> pa.Array:
         present = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)[present].astype(np.int64)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        cells = np.repeat(np.arange(len(present)), lengths) * width + flat
+        coded = lists.flatten().dictionary_encode()
+        buckets = np.array([int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
+                            for word in coded.dictionary.to_pylist()], dtype=np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(len(present)), lengths) * width + buckets[codes]
         counts = np.bincount(cells, minlength=len(present) * width).astype(np.float64)
         counts = counts.reshape(len(present), width)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
         return _as_lists(unit, present, len(lists))
 
-    return counted(buckets)
+    return counted(words)
 
 
 def model_embedding(text: Column, load_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.functions.text import filled, lowered_tokens
-from tidepost.functions.vectors import bucket_vector, model_embedding
+from tidepost.functions.vectors import hashed_counts, model_embedding
 from tidepost.settings import ANCHOR_TEMPLATE, EMBED_SUFFIX, QUERY_PREFIX
 
 Embedder = Callable[[Column], Column]
@@ -34,11 +34,7 @@ def hashed_words(dimensions: int = 64) -> Embedder:
     """Words fall into md5 buckets; the vector is the unit-length bucket count."""
 
     def embed(text: Column) -> Column:
-        buckets = F.transform(
-            lowered_tokens(text),
-            lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
-                       % dimensions).cast("int"))
-        return bucket_vector(buckets, dimensions)
+        return hashed_counts(lowered_tokens(text), dimensions)
 
     return embed
 

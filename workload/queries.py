@@ -244,14 +244,14 @@ def idf_table(spark, sf_dir):
 
 def tfidf_weights(spark, sf_dir):
     docs = V.postings(spark, sf_dir)
-    idf = terms.fit_idf(docs, "job_id", "desc", max_features=None)
+    idf = terms.fit_idf(docs, "job_id", "desc")
     return terms.tfidf(docs, idf, "job_id", "desc").withColumn("weight", F.round("weight", 6))
 
 
 def apply_tfidf(spark, sf_dir):
     """Fitted on the labelled postings, applied to the unlabelled ones."""
     docs = V.postings(spark, sf_dir, labels=True)
-    idf = terms.fit_idf(docs.filter("label >= 0"), "job_id", "desc", max_features=None)
+    idf = terms.fit_idf(docs.filter("label >= 0"), "job_id", "desc")
     return terms.tfidf(docs.filter("label < 0"), idf, "job_id", "desc") \
         .withColumn("weight", F.round("weight", 6))
 
