@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------------------------
@@ -117,17 +119,17 @@ STOP_WORDS = ENGLISH_STOP_WORDS + EXTRA_STOP_WORDS
 
 SCORE_PREFIX = "score_"
 MAX_SCORE = "similarity_score"
-SCORE_COLUMNS = [MAX_SCORE] + [SCORE_PREFIX + name for name in PROFILE_NAMES]
 KEYWORD_COLUMNS = ["keyword_" + name for name in KEYWORD_BINS]
 FEATURE_COLUMNS = KEYWORD_COLUMNS + ["weighted_keywords"]
 
-POSTING_SCHEMA = T.StructType(
-    [T.StructField("job_id", T.StringType(), False)]
-    + [T.StructField(name, T.StringType())
-       for name in ("source", "titles", "companies", "location", "level", "desc")]
-    + [T.StructField("scraped_at", T.TimestampNTZType()),
-       T.StructField("posted_at_raw", T.StringType()),
-       T.StructField("posted_at", T.TimestampNTZType())]
-    + [T.StructField(name, T.DoubleType()) for name in SCORE_COLUMNS]
-    + [T.StructField("html", T.StringType())]
-)
+
+def posting_schema(profiles: Iterable[str] = PROFILE_NAMES) -> T.StructType:
+    """The posting table, with one score column per profile."""
+    text, double, time = T.StringType(), T.DoubleType(), T.TimestampNTZType()
+    scores = [MAX_SCORE] + [SCORE_PREFIX + name for name in profiles]
+    return T.StructType(
+        [T.StructField("job_id", text, False)]
+        + [T.StructField(name, text) for name in ("source", "titles", "companies", "location", "level", "desc")]
+        + [T.StructField("scraped_at", time), T.StructField("posted_at_raw", text), T.StructField("posted_at", time)]
+        + [T.StructField(name, double) for name in scores]
+        + [T.StructField("html", text)])

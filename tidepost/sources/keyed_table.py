@@ -16,14 +16,14 @@ from pyspark.sql import types as T
 
 from tidepost.operators import keyed
 from tidepost.operators.frames import evolve_schema
-from tidepost.settings import POSTING_SCHEMA
+from tidepost.settings import posting_schema
 
 
 class KeyedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = POSTING_SCHEMA,
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None,
                  key: str = "job_id", order: Sequence[str] = ("scraped_at",)):
         self.spark, self.path = spark, path.rstrip("/")
-        self.schema, self.key, self.order = schema, key, list(order)
+        self.schema, self.key, self.order = schema or posting_schema(), key, list(order)
 
     def _finished(self, kind: str) -> dict[int, str]:
         """Complete folders of one kind: number to folder name."""
@@ -39,20 +39,21 @@ class KeyedTable:
 
     def _load(self, kind: str, number: int) -> DataFrame:
         folder = self._finished(kind)[number]
-        return evolve_schema(self.spark.read.parquet(f"{self.path}/{folder}"), self.schema)
+        return self.spark.read.parquet(f"{self.path}/{folder}")
 
     def read(self) -> DataFrame:
-        """One row per key; columns added to the schema since are NULL in older folders."""
+        """One row per key. Columns an older folder lacks are NULL; columns that only the folders
+        have (from a wider schema) stay."""
         snapshot, changes = self._state()
         base = (self._load("snapshot", snapshot) if snapshot >= 0
                 else self.spark.createDataFrame([], self.schema))
         if not changes:
-            return base
+            return evolve_schema(base, self.schema)
         parts = [self._load("changes", n).withColumn("_write", F.lit(n)) for n in changes]
         merged = parts[0]
         for part in parts[1:]:
-            merged = merged.unionByName(part)
-        return keyed.upsert_replace(base, merged, self.key, ["_write"]).drop("_write")
+            merged = merged.unionByName(part, allowMissingColumns=True)
+        return evolve_schema(keyed.upsert_replace(base, merged, self.key, ["_write"]).drop("_write"), self.schema)
 
     def _write(self, rows: DataFrame, tag: str | None) -> int:
         """Write one change folder. A tag names the write, and a tag already written is skipped."""
@@ -63,13 +64,13 @@ class KeyedTable:
                     return number
         number = max([*changes, *self._finished("snapshot")], default=-1) + 1
         name = f"changes={number}" + (f"-{tag}" if tag is not None else "")
-        known = rows.select(*[c for c in rows.columns if c in self.schema.names])
-        evolve_schema(known, self.schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        evolve_schema(rows, self.schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return number
 
     def upsert(self, rows: DataFrame, tag: str | None = None) -> int:
         """Replace whole rows by key; what the new row does not have is NULL afterwards."""
-        return self._write(keyed.first_per_key(rows, [self.key], self.order, last=True), tag)
+        known = rows.select(*[c for c in rows.columns if c in self.schema.names])
+        return self._write(keyed.first_per_key(known, [self.key], self.order, last=True), tag)
 
     def update(self, updates: DataFrame, tag: str | None = None) -> int:
         """Set columns of existing rows; unknown keys are ignored."""

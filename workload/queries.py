@@ -11,7 +11,7 @@ from tidepost.operators import (embedding, frames, keyed, keywords, metrics, ran
                                 scaling, similarity, terms)
 from tidepost.plans import prediction, semantic, training
 from tidepost.session import scratch_path
-from tidepost.settings import FEATURE_COLUMNS, POSTING_SCHEMA
+from tidepost.settings import FEATURE_COLUMNS, posting_schema
 from tidepost.sources import csv, pages
 from tidepost.sources.keyed_table import KeyedTable
 from tidepost.streaming import ingest
@@ -94,9 +94,10 @@ def unscored_scan(spark, sf_dir):
 
 def evolve_schema(spark, sf_dir):
     old = V.postings(spark, sf_dir).select("job_id", "source", "titles", "location")
-    return frames.evolve_schema(old, POSTING_SCHEMA).select(
+    schema = posting_schema(NAMES)
+    return frames.evolve_schema(old, schema).select(
         "job_id", "source", "titles", "companies", "location", "level",
-        *[c for c in POSTING_SCHEMA.names if c.startswith("score_")], "similarity_score")
+        *[c for c in schema.names if c.startswith("score_")], "similarity_score")
 
 
 def multi_query_dedupe(spark, sf_dir):
