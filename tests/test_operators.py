@@ -228,3 +228,25 @@ def test_ratings_and_cost(spark):
     text = prompts.first().prompt
     assert "- Company: Acme {titles}\n- Title: \n- Location: \n- Description: \n" in text
     assert text.startswith("You are a career advisor.") and "User Profile:\nme\n" in text
+
+
+def test_python_workers_do_not_need_the_package(tmp_path):
+    """As on a cluster: only the driver can import the library."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from tidepost.operators import embedding, similarity
+from tidepost.session import build_session
+spark = build_session("away", "local[2]", **{{"spark.ui.enabled": "false"}})
+df = spark.createDataFrame([("red green",)], "desc string")
+vectors = embedding.embed_documents(df, embedding.hashed_words(4))
+print(similarity.score_profiles(vectors, {{"p": [1.0, 1.0, 1.0, 1.0]}}).first().score_p)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]

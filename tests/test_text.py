@@ -94,7 +94,7 @@ def test_hashed_words_against_plain_python(spark):
 
     import numpy as np
 
-    texts = ["The cat the DOG\x85cat", "", None, "x"]
+    texts = ["The cat the DOG\x85cat", "", None, "x", " a\x1cb\u2003a\u3000 \x0bc\xa0"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, desc string")
     rows = embedding.embed_documents(df, embedding.hashed_words(16)).orderBy("i").collect()
     for text, row in zip(texts, rows):

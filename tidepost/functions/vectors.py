@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The functions below run in Python workers; sent by value they need no package installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _as_matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Non-null rows as a float64 matrix, and their positions in the batch."""
@@ -52,28 +58,31 @@ def cosine_scores(vector: Column, anchors: Sequence[Sequence[float]]) -> Column:
     return scores(vector)
 
 
-def hashed_counts(words: Column, width: int) -> Column:
-    """``array<double>``: L2-normalised counts of an ``array<string>`` by md5 bucket.
+def hashed_counts(text: Column, width: int) -> Column:
+    """``array<double>``: L2-normalised counts of a text's white-space tokens by md5 bucket.
 
-    Each distinct word of an Arrow batch is hashed once; counting is one ``bincount``.
+    Splitting and coding run over whole Arrow batches, each distinct token of a batch is hashed
+    once, and counting is one ``bincount``.
     """
 
     @F.arrow_udf("array<double>")
-    def counted(lists: pa.Array) -> pa.Array:
-        present = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)[present].astype(np.int64)
+    def counted(texts: pa.Array) -> pa.Array:
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
         coded = lists.flatten().dictionary_encode()
-        buckets = np.array([int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width
-                            for word in coded.dictionary.to_pylist()], dtype=np.int64)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        cells = np.repeat(np.arange(len(present)), lengths) * width + buckets[codes]
-        counts = np.bincount(cells, minlength=len(present) * width).astype(np.float64)
-        counts = counts.reshape(len(present), width)
+        words = coded.dictionary.to_pylist()
+        buckets = np.array([int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width if word else -1
+                            for word in words], dtype=np.int64)
+        bucket = buckets[coded.indices.to_numpy(zero_copy_only=False)]
+        row = np.repeat(np.arange(len(lists)), lengths)
+        cells = (row * width + bucket)[bucket >= 0]
+        counts = np.bincount(cells, minlength=len(lists) * width).astype(np.float64)
+        counts = counts.reshape(len(lists), width)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
-        return _as_lists(unit, present, len(lists))
+        return _as_lists(unit, np.arange(len(lists)), len(lists))
 
-    return counted(words)
+    return counted(text)
 
 
 def model_embedding(text: Column, load_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:

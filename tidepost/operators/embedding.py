@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.functions.text import filled, lowered_tokens
+from tidepost.functions.text import filled
 from tidepost.functions.vectors import hashed_counts, model_embedding
 from tidepost.settings import ANCHOR_TEMPLATE, EMBED_SUFFIX, QUERY_PREFIX
 
@@ -34,7 +34,7 @@ def hashed_words(dimensions: int = 64) -> Embedder:
     """Words fall into md5 buckets; the vector is the unit-length bucket count."""
 
     def embed(text: Column) -> Column:
-        return hashed_counts(lowered_tokens(text), dimensions)
+        return hashed_counts(F.lower(filled(text)), dimensions)
 
     return embed
 

@@ -34,10 +34,16 @@ def drop_duplicates_keep_first(df: DataFrame, subset: Sequence[str], ordinal: st
     return first_per_key(keyed, ["_digest"], [ordinal]).drop("_digest")
 
 
+def _keys(incoming: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of a batch, read as one column: Spark can tell from the size of that
+    column whether to broadcast it, and then does not move the store."""
+    return incoming.select(key).distinct()
+
+
 def upsert_replace(store: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Whole-row replace, last write wins; columns the new row lacks become NULL."""
     fresh = first_per_key(incoming, [key], order, last=True)
-    kept = store.join(fresh.select(key), key, "left_anti")
+    kept = store.join(_keys(incoming, key), key, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True).select(
         *store.columns, *[c for c in fresh.columns if c not in store.columns])
 
@@ -58,7 +64,7 @@ def update_columns(store: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 def _stored_hits(store: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Stored keys that an incoming batch mentions: the store is scanned for its key only, and
     not moved at all while the batch is small enough for Spark to broadcast."""
-    return store.select(key).join(incoming.select(key), key, "left_semi")
+    return store.select(key).join(_keys(incoming, key), key, "left_semi")
 
 
 def new_rows(incoming: DataFrame, store: DataFrame, key: str) -> DataFrame:
