@@ -23,15 +23,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.groupBy(*keys).agg(chosen.alias("_row")).select("_row.*")
 
 
-def drop_duplicates_keep_first(df: DataFrame, subset: Sequence[str], ordinal: str) -> DataFrame:
+def drop_duplicates_keep_first(df: DataFrame, subset: Sequence[str], ordinal: str,
+                               keep: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row (by ``ordinal``) of rows equal in ``subset``; NULL equals NULL.
 
     Grouping is by a digest of the subset, so that wide text is not carried as a shuffle key.
+    ``keep`` names the columns wanted afterwards; only those are shuffled (default: all).
     """
     marked = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"),
                                   F.col(c).cast("string")), F.lit("-")) for c in subset]
-    keyed = df.withColumn("_digest", F.sha2(F.concat_ws("|", *marked), 256))
-    return first_per_key(keyed, ["_digest"], [ordinal]).drop("_digest")
+    keep = list(df.columns if keep is None else keep)
+    digest = F.sha2(F.concat_ws("|", *marked), 256).alias("_digest")
+    keyed = df.select(digest, F.col(ordinal).alias("_ordinal"), *keep)
+    return first_per_key(keyed, ["_digest"], ["_ordinal"]).select(*keep)
 
 
 def _keys(incoming: DataFrame, key: str) -> DataFrame:

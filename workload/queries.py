@@ -172,8 +172,9 @@ def minmax_scaled(spark, sf_dir):
 
 def dedupe_subset(spark, sf_dir):
     kept = keyed.drop_duplicates_keep_first(
-        V.postings(spark, sf_dir, companies=True), ["titles", "location", "desc"], "doc_id")
-    return kept.select("job_id", "titles", "location", "companies")
+        V.postings(spark, sf_dir, companies=True), ["titles", "location", "desc"], "doc_id",
+        keep=["job_id", "titles", "location", "companies"])
+    return kept
 
 
 def union_synthetic(spark, sf_dir):
