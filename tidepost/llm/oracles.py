@@ -3,3 +3,19 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op9_bloom_lines"] = r"""
+WITH lines AS (
+  SELECT doc_id, u.i AS pos, u.line,
+         translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)),
+                                             lambda x, i: {'i': i, 'line': x})) AS u FROM documents)),
+gone AS (SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k
+         HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.doc_id, l.pos, l.line, g.k IS NOT NULL AND l.doc_id <> g.keeper AS dropped
+           FROM lines l LEFT JOIN gone g ON l.k = g.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

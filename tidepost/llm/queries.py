@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import fingerprint, quality
+from tidepost.llm import fingerprint, linededup, quality, setsketch
 from tidepost.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,15 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op9_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(F.col("c0").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
