@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidepost.llm.words import groups, mix, seeds, words
 
 KMER = 3
-TUPLES = 48
+TUPLES = 96
 _BLOCK = 1 << 12
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -78,8 +78,8 @@ def _smallest_two(items: np.ndarray, space: np.ndarray) -> np.ndarray:
 
 
 def cells(texts: pa.Array) -> np.ndarray:
-    """The fingerprints of texts, ``TUPLES`` 32-bit cells each."""
-    out = np.zeros((len(texts), TUPLES), np.uint32)
+    """The fingerprints of texts, ``TUPLES`` 16-bit cells each."""
+    out = np.zeros((len(texts), TUPLES), np.uint16)
     space = np.zeros((TUPLES, _BLOCK), np.uint32)
     for group in groups(texts):
         found = words(group)
@@ -94,7 +94,7 @@ def cells(texts: pa.Array) -> np.ndarray:
             else:
                 own = mix(np.array([found.hashes[a:b].dot(seeds(b - a, 5)) + np.uint64(b - a)], np.uint64))
             at = _smallest_two(own, space)
-            out[group.first + i] = (mix(own[at[:, 0]] * _STEP + mix(own[at[:, 1]])) >> np.uint64(32)).astype(np.uint32)
+            out[group.first + i] = (mix(own[at[:, 0]] * _STEP + mix(own[at[:, 1]])) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
@@ -129,8 +129,8 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             pa.array([a[0] for a, _ in pairs], pa.int64()),
             pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed], pa.string()),
-            pa.array([a[2].astype(">u4").tobytes().hex() for a, _ in pairs], pa.string()),
-            pa.array([e.astype(">u4").tobytes().hex() for e in edits], pa.string()),
+            pa.array([a[2].astype(">u2").tobytes().hex() for a, _ in pairs], pa.string()),
+            pa.array([e.astype(">u2").tobytes().hex() for e in edits], pa.string()),
             pa.array([likeness(a[2], e) for (a, _), e in zip(pairs, edits, strict=True)], pa.float64()),
             pa.array([likeness(a[2], b[2]) for a, b in pairs], pa.float64()),
         ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
