@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import fingerprint, linededup, quality, setsketch, warc
+from tidepost.llm import fingerprint, linededup, packing, quality, setsketch, warc
 from tidepost.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(F.col("c0").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query
+def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
