@@ -19,3 +19,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLES["op5_dated_lists"] = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_at,
+         nullif(lower(regexp_replace(regexp_replace(
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')), '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\\]*([^?#]*)', 1), '/'),
+                     lambda x: x <> '') AS parts
+  FROM pages),
+hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 4))::INTEGER AS v FROM captures WHERE host IS NOT NULL),
+entries AS (
+  SELECT CASE v % 3 WHEN 0 THEN 'domain' WHEN 1 THEN 'host' ELSE 'prefix' END AS kind,
+         CASE WHEN v % 3 = 2 THEN host || '/en' ELSE host END AS value,
+         CASE WHEN regexp_matches(host, 'casino|bets') THEN 'gambling' WHEN regexp_matches(host, 'pills') THEN 'pharma'
+              WHEN regexp_matches(host, 'adult') THEN 'adult' WHEN regexp_matches(host, 'spam|ads') THEN 'spam'
+              ELSE 'watch' END AS category,
+         DATE '2024-01-01' + CAST(v % 200 AS INTEGER) AS d, v
+  FROM hosts),
+valid AS (
+  SELECT kind, value, category, d AS valid_from, CASE WHEN v % 4 <> 0 THEN d + 60 END AS valid_to FROM entries
+  UNION ALL
+  SELECT kind, value, category, d + 90, NULL FROM entries WHERE v % 5 = 0 AND v % 4 <> 0),
+hits AS (
+  SELECT c.page_id, i.category FROM captures c JOIN valid i
+    ON c.fetched_at >= i.valid_from AND (i.valid_to IS NULL OR c.fetched_at < i.valid_to)
+   AND CASE i.kind WHEN 'host' THEN c.host = i.value
+                   WHEN 'domain' THEN c.host = i.value OR ends_with(c.host, '.' || i.value)
+                   ELSE c.host || '/' || array_to_string(c.parts[1:1], '/') = i.value END),
+folded AS (SELECT page_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(*) AS n_entries
+           FROM hits GROUP BY page_id)
+SELECT c.page_id, c.url, c.host, CAST(c.fetched_at AS VARCHAR) AS fetched_at, f.page_id IS NOT NULL AS blocked, coalesce(f.categories, '') AS categories,
+       coalesce(f.n_entries, 0) AS n_entries
+FROM captures c LEFT JOIN folded f USING (page_id)
+"""

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import fingerprint, linededup, packing, quality, setsketch, warc
-from tidepost.llm.store import table
+from tidepost.llm import (fingerprint, linededup, mixing, packing, quality, setsketch, template, urlfilter,
+                          warc)
+from tidepost.llm.store import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    @wraps(f)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = shipped
     return f
 
 
@@ -50,3 +57,42 @@ def op9_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.calibrated(docs, mixing.Targets()).select(
+        F.col("c0").alias("doc_id"), "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+@_query
+def op3_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
+def list_changes(pages: DataFrame) -> DataFrame:
+    """Dated list changes about the hosts of ``pages``, drawn from their names by md5."""
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    drawn = hosts.withColumn("v", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
+    category = (F.when(F.col("host").rlike("casino|bets"), "gambling").when(F.col("host").rlike("pills"), "pharma")
+                .when(F.col("host").rlike("adult"), "adult").when(F.col("host").rlike("spam|ads"), "spam")
+                .otherwise("watch"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("v") % 200)
+    entry = drawn.select(
+        F.when(F.col("v") % 3 == 0, "domain").when(F.col("v") % 3 == 1, "host").otherwise("prefix").alias("kind"),
+        F.when(F.col("v") % 3 == 2, F.concat("host", F.lit("/en"))).otherwise(F.col("host")).alias("value"),
+        category.alias("category"), day.alias("day"), "v")
+    change = [("add", 0, F.lit(True)), ("remove", 60, F.col("v") % 4 != 0), ("add", 90, F.col("v") % 5 == 0)]
+    return entry.select("kind", "value", "category", F.inline(F.filter(F.array(*[
+        F.struct(F.lit(action).alias("action"), F.date_add("day", after).alias("at"), when.alias("holds"))
+        for action, after, when in change]), lambda x: x.holds))).drop("holds")
+
+
+@_query
+def op5_dated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"),
+                                                         (F.col("page_id") % 366).cast("int")).alias("fetched_at"))
+    return urlfilter.judge(captures, list_changes(pages)).withColumnRenamed("key", "page_id").withColumn(
+        "fetched_at", F.col("fetched_at").cast("string"))
