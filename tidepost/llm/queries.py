@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import (fingerprint, linededup, mixing, packing, quality, setsketch, template, urlfilter,
-                          warc)
+from tidepost.llm import (fingerprint, license, linededup, mixing, packing, quality, setsketch, template,
+                          urlfilter, warc)
 from tidepost.llm.store import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op5_dated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                          (F.col("page_id") % 366).cast("int")).alias("fetched_at"))
     return urlfilter.judge(captures, list_changes(pages)).withColumnRenamed("key", "page_id").withColumn(
         "fetched_at", F.col("fetched_at").cast("string"))
+
+
+@_query
+def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
