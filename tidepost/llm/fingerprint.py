@@ -40,8 +40,9 @@ SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
           "near_edited double, near_next double")
 
 
-def _numbered(keys: np.ndarray) -> np.ndarray:
-    """Make repeats of a key different by how often it stood before."""
+def _times_before(keys: np.ndarray) -> np.ndarray:
+    """How often each key stood before."""
+    times = np.zeros(len(keys), np.uint64)
     ordered = np.sort(keys)
     repeated = ordered[1:][ordered[1:] == ordered[:-1]]
     if len(repeated):
@@ -51,8 +52,8 @@ def _numbered(keys: np.ndarray) -> np.ndarray:
         same = keys[by]
         first = np.concatenate([[True], same[1:] != same[:-1]])
         begin = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
-        keys[by] = mix(same + (np.arange(len(by)) - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys
+        times[by] = (np.arange(len(by)) - begin).astype(np.uint64)
+    return times
 
 
 def _smallest_two(items: np.ndarray, space: np.ndarray) -> np.ndarray:
@@ -85,8 +86,8 @@ def cells(texts: pa.Array) -> np.ndarray:
         found = words(group)
         hashes, whole = found.runs(KMER)
         of = np.repeat(np.arange(len(group), dtype=np.uint64), found.counts())
-        salt = mix(of + np.uint64(1))
-        items = _numbered(hashes ^ salt) ^ salt
+        times = _times_before(hashes ^ mix(of + np.uint64(1)))  # counted within each text
+        items = np.where(times > 0, mix(hashes + times * np.uint64(0x9E3779B97F4A7C15)), hashes)
         for i in range(len(group)):
             a, b = found.bounds[i], found.bounds[i + 1]
             if b - a >= KMER:
