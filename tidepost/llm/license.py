@@ -2,9 +2,10 @@
 
 Templates are short licence passages, each with a mandatory key phrase. One pass over the texts keeps the
 places of the words that templates or phrases hold, nothing else; document frequencies of these words come
-from all documents. The index has, per template, its rarest words (highest IDF) with their positions. A
-file's places of those words, minus their positions in the template, are where the template would begin;
-where the places of all of them agree and the key phrase stands in its position, the file has the label.
+from all documents. The index has the words' positions in each template. Of a template's words that a file has,
+the rarest (highest IDF) are looked up: their places in the file, minus their positions in the template, are
+where it would begin; where enough of them agree and the key phrase stands in its position, the file has
+the label.
 The score is the share of the best placed template's indexed words that stand where they belong.
 
 Base phrases are found the same way, by places of consecutive words, and always give their label.
@@ -31,7 +32,9 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words that every text has; they are in the index only where a key phrase needs them.
 FUNCTION_WORDS = frozenset("a an and any are as at be by for from if in is it not of on or that the this to under with you".split())
-RAREST = 3
+# Of a file's rarest words of a template so many are looked up, and so many must agree on its place.
+RAREST = 4
+AGREEING = 2
 
 
 @dataclass(frozen=True)
@@ -119,6 +122,11 @@ def _starts(words: dict[int, str]) -> Column:
     return reduce(F.array_intersect, shifted)
 
 
+def _agreed(begins: Column, start: Column) -> Column:
+    """Whether enough of the file's rarest words place the template at ``start``."""
+    return F.size(F.filter(begins, lambda x: F.array_contains(x, start))) >= F.least(F.size(begins), F.lit(AGREEING))
+
+
 def _share(index: dict[int, str], start: Column) -> Column:
     """The share of a template's words that stand in their places if it begins at ``start``."""
     return reduce(lambda a, b: a + b, [F.array_contains(F.col(_column(w)), start + i).cast("int")
@@ -138,16 +146,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     matched, scores, marks = {}, [], []
     for k, t in enumerate(TEMPLATES):
         index = _indexed(t)
-        rarest = dict(sorted(index.items(), key=lambda item: (-idf[item[1]], item[0]))[:RAREST])
+        rarest_first = sorted(index.items(), key=lambda item: (-idf[item[1]], item[0]))
         phrase = {t.phrase_at + i: w for i, w in enumerate(t.phrase.split())}
-        matched[f"here_{k}"] = F.array_intersect(_starts(rarest), _starts(phrase))
+        begins = F.array(*[_starts({i: w}) for i, w in rarest_first])
+        matched[f"rarest_{k}"] = F.slice(F.filter(begins, lambda x: F.size(x) > 0), 1, RAREST)
         matched[f"phrase_{k}"] = _starts(phrase)
     rows = rows.withColumns(matched)
     for k, t in enumerate(TEMPLATES):
         index = _indexed(t)
         share = F.transform(F.col(f"phrase_{k}"), partial(_share, index))
         scores.append(F.coalesce(F.array_max(share), F.lit(0.0)))
-        marks.append(F.when(F.size(f"here_{k}") > 0, F.lit(t.label)))
+        here = F.filter(F.col(f"phrase_{k}"), partial(_agreed, F.col(f"rarest_{k}")))
+        marks.append(F.when(F.size(here) > 0, F.lit(t.label)))
     base_marks = [F.when(F.size(c) > 0, F.lit(c.removeprefix("base_"))) for c in base]
     n_base = reduce(lambda a, b: a + b, [F.size(c) for c in base])
     lows, highs = [F.array_min(c) for c in base], [F.array_max(c) for c in base]
