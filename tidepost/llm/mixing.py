@@ -32,7 +32,6 @@ SEED = 20240101
 TOPIC_PATTERNS = {
     "licence": r"(?i)\blicen[cs]ed?\b|copyright",
     "contact": r"\w@[\w-]++\.\w|\+?\d[\d ()-]{8,}\d",
-    "symbols": r"[#*$%&|<>]{3}",
 }
 PROSE = "prose"
 
@@ -43,7 +42,7 @@ class Targets:
 
     source: dict[str, float] = field(default_factory=lambda: {f"src{i}": 0.05 for i in range(20)})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11})
-    topic: dict[str, float] = field(default_factory=lambda: {"licence": 0.03, "contact": 0.07, "symbols": 0.05, PROSE: 0.85})
+    topic: dict[str, float] = field(default_factory=lambda: {"licence": 0.03, "contact": 0.04, PROSE: 0.93})
 
     def margins(self) -> list[tuple[str, dict[str, float]]]:
         return [("source", self.source), ("lang", self.lang), ("topic", self.topic)]
