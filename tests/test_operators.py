@@ -59,19 +59,19 @@ def test_hot_group_of_copies_is_folded_before_the_shuffle(spark):
     assert "partial_max_by" in kept._jdf.queryExecution().executedPlan().toString()
 
 
-def test_top_n_per_group_with_and_without_salt(spark):
+def test_top_n_per_group(spark):
     rng = random.Random(1)
     data = [(rng.choice("aaaab"), rng.randint(0, 50), i) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, s int, id int")
     for n in (3, 150):
         got = {(r.g, r.rank, r.id) for r in ranking.top_n_per_group(
-            df, ["g"], [F.desc("s"), F.asc("id")], n, "id").collect()}
+            df, ["g"], [F.desc("s"), F.asc("id")], n).collect()}
         want = set()
         for g in "ab":
             best = sorted((x for x in data if x[0] == g), key=lambda x: (-x[1], x[2]))[:n]
             want |= {(g, i + 1, x[2]) for i, x in enumerate(best)}
         assert got == want
-        top = [r.id for r in ranking.top_n(df, [F.desc("s"), F.asc("id")], n, "id").collect()]
+        top = [r.id for r in ranking.top_n(df, [F.desc("s"), F.asc("id")], n).collect()]
         assert top == [x[2] for x in sorted(data, key=lambda x: (-x[1], x[2]))[:n]]
 
 
@@ -157,14 +157,12 @@ def test_scores_zero_opposite_null_and_rounding(spark):
     assert np.round(0.125, 2) == 0.12
 
 
-def test_scores_refuse_other_widths_and_too_many_profiles(spark, monkeypatch):
+def test_scores_refuse_other_widths(spark):
     df = spark.createDataFrame([([1.0],)], "embedding array<double>")
     with pytest.raises(Exception, match="2 entries"):
         similarity.score_profiles(df, {"p": [1.0, 0.0]}).collect()
-    monkeypatch.setattr(similarity, "MAX_PROFILES", 1)
-    profiles = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "profile string, embedding array<double>")
-    with pytest.raises(ValueError):
-        similarity.anchor_vectors(profiles)
+    profiles = spark.range(1500).select(F.col("id").cast("string").alias("profile"), F.array(F.lit(1.0)).alias("embedding"))
+    assert len(similarity.anchor_vectors(profiles)) == 1500
 
 
 def test_tfidf_against_plain_python(spark):
@@ -250,3 +248,20 @@ print(similarity.score_profiles(vectors, {{"p": [1.0, 1.0, 1.0, 1.0]}}).first().
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_equal_orders_are_settled_by_the_row(spark):
+    rows = [("k", 1, f"text {i}") for i in range(50)]
+    picks = {keyed.first_per_key(spark.createDataFrame(rows[i:] + rows[:i], "k string, o int, t string").repartition(4),
+                                 ["k"], ["o"], last=True).first().t for i in (0, 7, 31)}
+    assert len(picks) == 1
+
+
+def test_repeated_replies_do_not_multiply_postings(spark):
+    from tidepost.operators import rating
+
+    postings = spark.createDataFrame([("a",), ("b",)], "k string")
+    replies = spark.createDataFrame([("a", "3", 1), ("a", "8", 2), ("a", "5", 0)], "k string, raw string, at int")
+    got = {r.k: r.rating for r in rating.attach_ratings(postings, replies, "k", order=["at"]).collect()}
+    assert got == {"a": 8, "b": 0}
+    assert rating.attach_ratings(postings, replies.drop("at"), "k").count() == 2

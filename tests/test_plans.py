@@ -1,5 +1,6 @@
 import datetime
 import os
+import re
 
 import numpy as np
 import pytest
@@ -210,6 +211,58 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     assert {r.id: r.v for r in table.read().collect()} == {1: 3, 2: 1, 9: 9}
 
 
+def test_streams_on_new_checkpoints_lose_no_batch(spark, tmp_path):
+    table = None
+    for name in ("a", "b"):
+        path = str(tmp_path / name)
+        schema = events(spark, path, (1 if name == "a" else 2, "2024-01-01", 1))
+        table = table or KeyedTable(spark, str(tmp_path / "t"), schema, key="id", order=["ts"])
+        ingest.upsert_stream(ingest.posting_stream(spark, path, schema), table, str(tmp_path / f"ck-{name}")).awaitTermination()
+    assert sorted(r.id for r in table.read().collect()) == [1, 2]
+
+
+def test_declared_order_holds_across_batches(spark, tmp_path):
+    path = str(tmp_path / "in")
+    schema = events(spark, path, (1, "2024-01-05", 5), (2, "2024-01-01", 1))
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, key="id", order=["ts"], by_order=True)
+
+    def go():
+        ingest.upsert_stream(ingest.posting_stream(spark, path, schema), table, str(tmp_path / "ck")).awaitTermination()
+        return {r.id: r.v for r in table.read().collect()}
+
+    assert go() == {1: 5, 2: 1}
+    events(spark, path, (1, "2024-01-02", 2), (2, "2024-01-03", 3))
+    assert go() == {1: 5, 2: 3}
+    table.compact()
+    events(spark, path, (1, "2024-01-04", 4))
+    assert go() == {1: 5, 2: 3}
+
+
+def test_csvs_are_read_by_header(spark, tmp_path):
+    from tidepost.sources import csv
+
+    (tmp_path / "real.csv").write_text('Unnamed: 0,desc,titles,true_labels,companies,location\n0,"d\n1",t,1.0,c,l\n1,e,u,x,c,l\n')
+    (tmp_path / "made.csv").write_text("Unnamed: 0,Title,Company,Description\n0,Engineer,Acme,Builds\n")
+    made = csv.read_synthetic_csv(spark, str(tmp_path / "made.csv")).first()
+    assert (made.titles, made.companies, made.desc, made.label) == ("Engineer", "Acme", "Builds", 1)
+    both = csv.read_training_csvs(spark, str(tmp_path / "real.csv"), str(tmp_path / "made.csv"))
+    assert both.columns.count("label") == 1 and dict(both.dtypes)["label"] == "int"
+    assert sorted((r.titles, r.desc, r.label) for r in both.collect() if r.label is not None) == [
+        ("Engineer", "Builds", 1), ("t", "d\n1", 1)]
+    alone = csv.read_training_csvs(spark, str(tmp_path / "real.csv"), str(tmp_path / "missing.csv"))
+    assert alone.count() == 2
+    typed = csv.read_postings_csv(spark, str(tmp_path / "real.csv"), csv.LABELLED_SCHEMA)
+    assert [r.true_labels for r in typed.orderBy("titles").collect()] == [1.0, None]
+
+
+def test_rows_without_a_time_are_stamped(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([("1", "t")], "job_id string, titles string")
+    table.upsert(rows, scraped_at=datetime.datetime(2024, 1, 2))
+    table.upsert(rows)
+    assert table.read().count() == 1
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables are not here")
 def test_registered_queries_equal_their_sql(spark):
     from __spark_entry__ import entry, oracle_sql, queries
@@ -218,10 +271,13 @@ def test_registered_queries_equal_their_sql(spark):
     sf_dir = "/root/testdata/sf0.001"
     con, problems = connect(sf_dir), {}
     for name, sql in oracle_sql().items():
+        if re.match(r"op\d+_", name):
+            continue
         problem = compare(spark, con, sf_dir, queries()[name], sql)
         # The small tables end before the days this search asks for.
         if problem and not (name == "search_filter" and problem == "no rows"):
             problems[name] = problem
     assert not problems
-    assert set(queries()) - set(oracle_sql()) == {"pca_explained", "train_eval", "predict_new"}
+    own = {q for q in queries() if q != "pipeline" and not re.match(r"op\d+_", q)}
+    assert own - set(oracle_sql()) == {"pca_explained", "train_eval", "predict_new"}
     assert entry(spark).count() == 22

@@ -17,9 +17,13 @@ from tidepost.settings import MAX_SCORE
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   last: bool = False) -> DataFrame:
-    """One row per key: the one with the smallest (``last``: largest) ``order`` values."""
+    """One row per key: the one with the smallest (``last``: largest) ``order`` values.
+
+    Among equals the hash of the whole row decides, so that runs agree.
+    """
     pick = F.max_by if last else F.min_by
-    chosen = pick(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(c) for c in order]))
+    chosen = pick(F.struct(*[F.col(c) for c in df.columns]),
+                  F.struct(*[F.col(c) for c in order], F.xxhash64(*df.columns).alias("_tie")))
     return df.groupBy(*keys).agg(chosen.alias("_row")).select("_row.*")
 
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tidepost.operators.keyed import first_per_key, new_rows
 from tidepost.settings import PAGE_SIZE, SOURCE_CAP
 
-_SALTS = 64
-_SMALL_N = 100
-
 
 def rank_by_score(df: DataFrame, score: str, tie: str, threshold: float | None = None) -> DataFrame:
     """Rows at or above the threshold, best first; ties by ``tie`` (also what splits hot scores
@@ -22,29 +19,17 @@ def rank_by_score(df: DataFrame, score: str, tie: str, threshold: float | None =
     return df.orderBy(F.desc(score), F.asc(tie))
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int, spread: str) -> DataFrame:
-    """The ``n`` first rows by ``order``.
-
-    A large ``n`` first goes through a fixed number of partial top-n lists (by hash of
-    ``spread``), so that the last step sees at most that many lists whatever the input.
-    """
-    if n > _SMALL_N:
-        df = df.repartition(_SALTS, spread)
+def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The ``n`` first rows by ``order``; each task sends its own ``n`` first rows at most."""
     return df.orderBy(*order).limit(n)
 
 
-def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int,
-                    spread: str) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The ``n`` first rows per group by ``order``, with their ``rank``.
 
-    Spark limits each task's rows per group before the shuffle. For a large ``n`` the groups are
-    also salted (by hash of ``spread``), so a hot group is cut down by many tasks first.
+    Spark limits each task's rows per group before the shuffle, so a hot group is cut down by all
+    the tasks that hold it.
     """
-    if n > _SMALL_N:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)))
-        inner = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = (salted.withColumn("_pre", F.row_number().over(inner))
-                    .filter(F.col("_pre") <= n).drop("_pre", "_salt"))
     outer = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= n)
 
@@ -57,9 +42,9 @@ def crawl_budget(candidates: DataFrame, store: DataFrame, *, query: str, key: st
     A query lists at most ``source_cap`` results; stored ones are skipped and do not count; the
     first ``max_pages * page_size`` of the rest are taken.
     """
-    listed = top_n_per_group(candidates, [query], order, source_cap, key).drop("rank")
+    listed = top_n_per_group(candidates, [query], order, source_cap).drop("rank")
     fresh = new_rows(listed, store, key)
-    return top_n_per_group(fresh, [query], order, max_pages * page_size, key)
+    return top_n_per_group(fresh, [query], order, max_pages * page_size)
 
 
 def merge_queries(df: DataFrame, key: str, ordinal: str) -> DataFrame:

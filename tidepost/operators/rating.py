@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.functions.text import parse_rating
 from tidepost.operators.frames import with_defaults
+from tidepost.operators.keyed import first_per_key
 from tidepost.settings import COST_PER_1K_TOKENS, RATING_PROMPT
 
 _FIELDS = ("companies", "titles", "location", "desc")
@@ -27,12 +29,15 @@ def build_prompts(df: DataFrame, key: str, profile: str, criteria: str) -> DataF
     return full.select(key, prompt(profile, criteria).alias("prompt"))
 
 
-def attach_ratings(postings: DataFrame, replies: DataFrame, key: str, reply: str = "raw") -> DataFrame:
+def attach_ratings(postings: DataFrame, replies: DataFrame, key: str, reply: str = "raw",
+                   order: Sequence[str] = ()) -> DataFrame:
     """``rating`` from landed replies, 0 where there is none or it is no integer.
 
-    ``rating_valid`` tells whether the reply kept to 1..10.
+    Of several replies to a posting the last by ``order`` counts (then by the reply itself), so
+    postings are never multiplied. ``rating_valid`` tells whether the reply kept to 1..10.
     """
-    parsed = postings.join(replies, key, "left").withColumn("rating", parse_rating(F.col(reply)))
+    last = first_per_key(replies, [key], [*order, reply], last=True)
+    parsed = postings.join(last.drop(*order), key, "left").withColumn("rating", parse_rating(F.col(reply)))
     return parsed.withColumn("rating_valid", F.col("rating").between(1, 10))
 
 

@@ -11,15 +11,11 @@ from tidepost.functions.vectors import cosine_scores, score_columns
 from tidepost.operators.ranking import rank_by_score, top_n, top_n_per_group
 from tidepost.settings import MAX_SCORE, SCORE_PREFIX
 
-MAX_PROFILES = 1000
-
 
 def anchor_vectors(profiles: DataFrame, name: str = "profile",
                    vector: str = "embedding") -> dict[str, list[float]]:
-    """Profile name to vector, in name order. Profiles are configuration: too many are refused."""
-    rows = profiles.select(name, vector).limit(MAX_PROFILES + 1).collect()
-    if len(rows) > MAX_PROFILES:
-        raise ValueError(f"more than {MAX_PROFILES} profiles; score them in groups")
+    """Profile name to vector, in name order. Profiles are configuration, a row each, not data."""
+    rows = profiles.select(name, vector).collect()
     return {row[0]: [float(x) for x in row[1]] for row in sorted(rows, key=lambda row: row[0])}
 
 
@@ -44,11 +40,11 @@ def long_scores(scored: DataFrame, key: str, names: Sequence[str], with_best: bo
 
 def top_lists(long: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` best rows per profile, with their rank."""
-    return top_n_per_group(long, ["profile"], [F.desc("score"), F.asc(key)], n, key)
+    return top_n_per_group(long, ["profile"], [F.desc("score"), F.asc(key)], n)
 
 
 def top_overall(scored: DataFrame, key: str, n: int = 10) -> DataFrame:
-    return top_n(scored, [F.desc(MAX_SCORE), F.asc(key)], n, key)
+    return top_n(scored, [F.desc(MAX_SCORE), F.asc(key)], n)
 
 
 def top_per_profile(scored: DataFrame, key: str, names: Sequence[str], n: int = 3) -> DataFrame:

@@ -3,7 +3,8 @@
 ``snapshot=<n>`` holds one row per key, ``changes=<n>`` the whole new rows of one write. Reading
 lays the changes after the newest snapshot over it; writing never touches a folder that is being
 read. A write may carry a tag, and a tag counts once, which makes retried streaming batches safe.
-One writer at a time is assumed.
+One writer at a time is assumed. Of several rows of a key the last written counts; a table with
+``by_order`` goes by the declared order first, so that late older rows do not replace newer ones.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from tidepost.settings import posting_schema
 
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None,
-                 key: str = "job_id", order: Sequence[str] = ("scraped_at",)):
+                 key: str = "job_id", order: Sequence[str] = ("scraped_at",), by_order: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
         self.schema, self.key, self.order = schema or posting_schema(), key, list(order)
+        self.by_order = by_order
 
     def _finished(self, kind: str) -> dict[int, str]:
         """Complete folders of one kind: number to folder name."""
@@ -53,7 +55,12 @@ class KeyedTable:
         merged = parts[0]
         for part in parts[1:]:
             merged = merged.unionByName(part, allowMissingColumns=True)
-        return evolve_schema(keyed.upsert_replace(base, merged, self.key, ["_write"]).drop("_write"), self.schema)
+        if self.by_order:
+            both = base.withColumn("_write", F.lit(-1)).unionByName(merged, allowMissingColumns=True)
+            latest = keyed.first_per_key(both, [self.key], [*self.order, "_write"], last=True)
+        else:
+            latest = keyed.upsert_replace(base, merged, self.key, ["_write"])
+        return evolve_schema(latest.drop("_write"), self.schema)
 
     def _write(self, rows: DataFrame, tag: str | None) -> int:
         """Write one change folder. A tag names the write, and a tag already written is skipped."""
@@ -67,15 +74,27 @@ class KeyedTable:
         evolve_schema(rows, self.schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return number
 
-    def upsert(self, rows: DataFrame, tag: str | None = None) -> int:
-        """Replace whole rows by key; what the new row does not have is NULL afterwards."""
+    def upsert(self, rows: DataFrame, tag: str | None = None, scraped_at: object = None) -> int:
+        """Replace whole rows by key; what the new row does not have is NULL afterwards.
+
+        ``scraped_at`` stamps rows that do not say when they were fetched, as pages do not.
+        """
         known = rows.select(*[c for c in rows.columns if c in self.schema.names])
+        if scraped_at is not None:
+            stamp = F.lit(scraped_at).cast(self.schema["scraped_at"].dataType)
+            known = known.withColumn("scraped_at", F.coalesce("scraped_at", stamp) if "scraped_at" in known.columns else stamp)
+        missing = [c for c in self.order if c not in known.columns]
+        known = known.withColumns({c: F.lit(None).cast(self.schema[c].dataType) for c in missing})
         return self._write(keyed.first_per_key(known, [self.key], self.order, last=True), tag)
 
     def update(self, updates: DataFrame, tag: str | None = None) -> int:
         """Set columns of existing rows; unknown keys are ignored."""
-        touched = self.read().join(updates.select(self.key), self.key, "left_semi")
-        return self._write(keyed.update_columns(touched, updates, self.key), tag)
+        stored = self.read()
+        names = [c for c in updates.columns if c != self.key]
+        new = updates.select(self.key, *[F.col(c).alias(f"_set_{c}") for c in names])
+        columns = [*stored.columns, *[c for c in names if c not in stored.columns]]
+        return self._write(stored.join(new, self.key).select(
+            *[F.col(f"_set_{c}").alias(c) if c in names else F.col(c) for c in columns]), tag)
 
     def compact(self) -> int:
         """Fold the changes into a new snapshot."""

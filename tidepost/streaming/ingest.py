@@ -42,16 +42,17 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
 
 
-def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, name: str = "stream",
-                  compact_every: int = 50,
+def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str, compact_every: int = 50,
                   prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
-    """Upsert each micro-batch, tagged with its number so that a retried batch counts once.
+    """Upsert each micro-batch, tagged with query id and number so that a retried batch counts once.
 
-    The table is folded every ``compact_every`` batches; in between a batch costs its own size.
+    The id is kept in the checkpoint: a restarted query goes on with it, another query, or one on a
+    new checkpoint, has its own, so that no batch is taken for a different one. The table is folded every ``compact_every`` batches; in between a batch costs its own size.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        table.upsert(prepare(batch), f"{name}.{number}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table.upsert(prepare(batch), f"{query}.{number}")
         if number and number % compact_every == 0:
             table.compact()
 
