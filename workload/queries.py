@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepost.functions import html as H
 from tidepost.functions import text as X
@@ -214,12 +215,20 @@ def csv_roundtrip(spark, sf_dir):
 
 
 def training_frame(spark, sf_dir):
-    real = V.postings(spark, sf_dir, labels=True, companies=True) \
-        .withColumnRenamed("label", "true_labels").drop("job_id", "source", "posted_at", "toxic")
+    """From two CSV files, each with a stray index column."""
+    real = V.postings(spark, sf_dir, labels=True, companies=True).select(
+        F.col("doc_id").alias("Unnamed: 0"), "desc", "titles", "doc_id", "location", "companies", F.col("label").alias("true_labels"))
     made = V.table(spark, sf_dir, "benchmark").select(
-        F.split_part("text", F.lit(" "), F.lit(1)).alias("Title"), F.lit(None).cast("string").alias("Company"),
-        F.col("text").alias("Description"))
-    frame = training.training_frame(real, made, ordinal="doc_id", bins=V.BINS)
+        F.col("item_id").alias("Unnamed: 0"), F.split_part("text", F.lit(" "), F.lit(1)).alias("Title"),
+        F.lit(None).cast("string").alias("Company"), F.col("text").alias("Description"))
+    paths = []
+    for label, rows in (("labelled", real), ("synthetic", made)):
+        paths.append(scratch_path(spark, label))
+        rows.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(paths[-1])
+    schema = T.StructType([*csv.LABELLED_SCHEMA.fields, T.StructField("doc_id", T.LongType())])
+    labelled = csv.read_postings_csv(spark, paths[0], schema, "UTF-8").withColumn("true_labels", F.col("true_labels").cast("int"))
+    synthetic = csv.read_postings_csv(spark, paths[1], csv.SYNTHETIC_SCHEMA, "UTF-8")
+    frame = training.training_frame(labelled, synthetic, ordinal="doc_id", bins=V.BINS)
     return frame.select(
         "titles", "companies", F.md5(F.col("desc").cast("binary")).alias("desc_md5"), "label", "word_count",
         *[F.col(f"keyword_{b}").cast("long").alias(f"keyword_{b}") for b in V.BINS],
@@ -361,7 +370,9 @@ def prompt_build(spark, sf_dir):
 
 def rating_parse(spark, sf_dir):
     events = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), "event_type")
-    return rating.attach_ratings(events, V.replies(spark, sf_dir), "job_id").select(
+    replies = V.replies(spark, sf_dir).withColumn("attempt", F.lit(2))
+    earlier = replies.filter("job_id % 7 = 0").withColumns({"raw": F.lit("9"), "attempt": F.lit(1)})
+    return rating.attach_ratings(events, replies.unionByName(earlier), "job_id", order=["attempt"]).select(
         "job_id", "event_type", "rating", F.col("rating_valid").cast("int").alias("rating_valid"))
 
 
@@ -371,6 +382,17 @@ def token_cost(spark, sf_dir):
 
 # Streaming ------------------------------------------------------------------------------------
 
+def _late_event_files(spark: SparkSession, sf_dir: str) -> tuple[list[str], object]:
+    """Events as files of two sources, each delivering its newest days first."""
+    events = V.table(spark, sf_dir, "events")
+    paths = [scratch_path(spark, f"events-{i}") for i in range(2)]
+    for i, path in enumerate(paths):
+        own = events.filter(F.col("event_id") % 2 == i)
+        for low, high in ((25, 32), (17, 25), (9, 17), (0, 9)):
+            own.filter(f"day(ts) >= {low} and day(ts) < {high}").coalesce(1).write.mode("append").parquet(path)
+    return paths, events.schema
+
+
 def _event_files(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     """Events as two overlapping deliveries, as files."""
     path = scratch_path(spark, "events-in")
@@ -389,10 +411,11 @@ def stream_dedupe(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
-    path, schema = _event_files(spark, sf_dir)
-    users = KeyedTable(spark, scratch_path(spark, "users"), schema, key="user_id", order=["ts", "event_id"])
-    stream = ingest.posting_stream(spark, path, schema, 1)
-    ingest.upsert_stream(stream, users, scratch_path(spark, "ckpt")).awaitTermination()
+    paths, schema = _late_event_files(spark, sf_dir)
+    users = KeyedTable(spark, scratch_path(spark, "users"), schema, key="user_id", order=["ts", "event_id"], by_order=True)
+    for path in paths:
+        stream = ingest.posting_stream(spark, path, schema, 1)
+        ingest.upsert_stream(stream, users, scratch_path(spark, "ckpt")).awaitTermination()
     return users.read().select("user_id", "event_id", "event_type", "value", _ts("ts"))
 
 
