@@ -244,7 +244,7 @@ def ngram_counts(spark, sf_dir):
 
 def vocabulary(spark, sf_dir):
     docs = V.postings(spark, sf_dir)
-    return terms.vocabulary(terms.term_counts(docs, "job_id", "desc"), docs)
+    return terms.vocabulary(terms.written_counts(terms.term_counts(docs, "job_id", "desc")), docs)
 
 
 def idf_table(spark, sf_dir):
@@ -255,8 +255,9 @@ def idf_table(spark, sf_dir):
 
 def tfidf_weights(spark, sf_dir):
     docs = V.postings(spark, sf_dir)
-    idf = terms.fit_idf(docs, "job_id", "desc")
-    return terms.tfidf(docs, idf, "job_id", "desc").withColumn("weight", F.round("weight", 6))
+    counts = terms.written_counts(terms.term_counts(docs, "job_id", "desc"))
+    idf = terms.fit_idf(docs, "job_id", "desc", counts=counts)
+    return terms.tfidf(docs, idf, "job_id", "desc", counts=counts).withColumn("weight", F.round("weight", 6))
 
 
 def apply_tfidf(spark, sf_dir):
