@@ -15,7 +15,6 @@ document below all others; equal rows are treated alike; no rows give no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from tidepost.llm.bloom import Filters, merged_filter
 from tidepost.llm.store import written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 FILTER_BITS = 1 << 27
-BLOCK_BITS = 1 << 16
-PROBES = 2
 
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -49,93 +47,17 @@ def digests(text: str | None) -> list[bytes | None]:
             for line in (text or "").encode("utf-8").split(b"\n")]
 
 
-class Filters:
-    """Once-seen and twice-seen keys of some documents. Bits of a key lie in one block."""
-
-    def __init__(self, bits: int):
-        self.bits, self.block = bits, min(BLOCK_BITS, bits)
-        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-
-    def probes(self, keys: np.ndarray) -> np.ndarray:
-        """Bit positions, one row per probe."""
-        block = (keys >> np.uint64(40)) % np.uint64(self.bits // self.block)
-        base = block * np.uint64(self.block)
-        return np.stack([base + ((keys >> np.uint64(20 * p)) % np.uint64(self.block)) for p in range(PROBES)]).astype(np.int64)
-
-    @staticmethod
-    def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-
-    @staticmethod
-    def _put(table: np.ndarray, at: np.ndarray) -> None:
-        np.bitwise_or.at(table, (at >> 3).ravel(), (np.uint8(1) << (at & 7).astype(np.uint8)).ravel())
-
-    def add(self, keys: np.ndarray) -> None:
-        """``keys`` are those of whole documents, each once per document that holds it."""
-        keys, counts = np.unique(keys, return_counts=True)
-        at = self.probes(keys)
-        again = self._has(self.once, at) | (counts > 1)
-        self._put(self.twice, at[:, again])
-        self._put(self.once, at)
-
-    def suspects(self, keys: np.ndarray) -> np.ndarray:
-        return self._has(self.twice, self.probes(keys))
-
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        width = self.block // 8
-        once, twice = self.once.reshape(-1, width), self.twice.reshape(-1, width)
-        for i in np.flatnonzero(once.any(axis=1)):
-            yield int(i), zlib.compress(once[i].tobytes(), 1), zlib.compress(twice[i].tobytes(), 1)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: one row per block with its twice-seen bits."""
-    now: int | None = None
-    once = twice = np.zeros(0, np.uint8)
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([now], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["block", "twice"])
-
-    for batch in batches:
-        for block, a, b in zip(*[batch.column(c).to_pylist() for c in ("block", "once", "twice")], strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if block == now:
-                twice = twice | b | (once & a)
-                once = once | a
-            else:
-                if now is not None and twice.any():
-                    yield done()
-                now, once, twice = block, a, b
-    if now is not None and twice.any():
-        yield done()
-
-
-def twice_seen(docs: DataFrame, text: str, bits: int) -> bytes:
-    """The merged filter of keys in two documents or more: ``bits`` bits, whatever the input."""
-
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Filters(bits)
+def _twice_seen(docs: DataFrame, text: str, bits: int) -> bytes:
+    """The filter of keys in two documents or more."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             found = [np.frombuffer(b"".join({d[:8] for d in digests(t) if d}), np.uint64)
                      for t in batch.column(0).to_pylist()]
             if found:
-                filters.add(np.concatenate(found))
-        rows = list(filters.blocks())
-        for a in range(0, len(rows), 256):
-            part = list(zip(*rows[a:a + 256], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())],
-                ["block", "once", "twice"])
+                yield np.concatenate(found)
 
-    parts = docs.select(F.col(text).cast("string")).mapInArrow(filled, "block int, once binary, twice binary")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = (parts.repartition(tasks, "block").sortWithinPartitions("block")
-              .mapInArrow(_merged, "block int, twice binary"))
-    table = np.zeros((max(bits // BLOCK_BITS, 1), min(BLOCK_BITS, bits) // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        table[row.block] = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint8)
-    return table.tobytes()
+    return merged_filter(docs.select(F.col(text).cast("string")), keys, bits, "twice")
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
@@ -146,12 +68,10 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     columns = flat.columns
     id_at, text_at = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     keyed = flat.withColumn("text_key", F.xxhash64(F.col(text_at).cast("string")))
-    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(flat, text_at, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_twice_seen(flat, text_at, bits))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = Filters.__new__(Filters)
-        filters.bits, filters.block = bits, min(BLOCK_BITS, bits)
-        filters.twice = np.frombuffer(shared.value, np.uint8)
+        filters = Filters.reading(shared.value, bits)
         for batch in batches:
             rows, marks = [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
@@ -196,7 +116,8 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of their texts; other columns as they are."""
+    """``docs`` with repeated lines taken out of their texts, ``n_chars`` made to fit; other columns as they are."""
     names = docs.columns
     done = drop_lines(docs, doc_id, text)
-    return done.select(*[F.col("kept_text" if n == text else f"c{i}").alias(n) for i, n in enumerate(names)])
+    new = {text: F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return done.select(*[new.get(n, F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
