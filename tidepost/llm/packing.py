@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -37,8 +38,11 @@ SOLVER_STEPS = 100
 PARTNERS = 8
 DEPTH = 6
 # Words whose ids a task remembers; beyond it the memory starts anew, which changes no result.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_500_000
 RANK_ROWS = 50_000
+# The vocabulary's mark for the end of a part of a word; stops that are parts of their own.
+WORD_END = "</w>"
+STOPS = frozenset(".,;:!?")
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -48,12 +52,16 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 @lru_cache(maxsize=1)
-def _tokenizer(path: str) -> tuple[Any, dict[bytes, bytes]]:
-    """The tokenizer and the words known so far, kept between the tasks of a worker."""
+def _tokenizer(path: str) -> tuple[Any, dict[bytes, bytes], np.ndarray]:
+    """The tokenizer, the words known so far (kept between a worker's tasks), and which ids end a part of a word."""
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith(WORD_END)
+    return tokenizer, {}, ends
 
 
 class WordIds:
@@ -63,28 +71,53 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path)
+        self.tokenizer, self.known, self.ends = _tokenizer(path)
         self.closing = np.array([CLOSING_ID], "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode new words in one call, and find each one's ids by where they stand."""
-        texts = [w.decode("utf-8") for w in words]
-        code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(code.ids, "<u4").tobytes()
-        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        """Encode new words, many in one call.
+
+        Letters alone are one part, letters and a stop are two, and a part ends with an id that says so; where the
+        number of such ids is as expected, they tell the words apart.
+        """
+        kinds: dict[int, list[tuple[bytes, str]]] = {0: [], 1: [], 2: []}
+        for w in words:
+            text = w.decode("utf-8")
+            parts = 1 if text.isalpha() else 2 if text[-1] in STOPS and text[:-1].isalpha() else 0
+            kinds[parts].append((w, text))
+        for parts, own in kinds.items():
+            for a in range(0, len(own), 2_000):
+                some = own[a:a + 2_000]
+                if parts:
+                    code = self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0]
+                    ids = np.array(code.ids, "<u4")
+                    stops = np.flatnonzero(self.ends[ids])[parts - 1::parts] + 1
+                    if len(stops) == len(some) and len(ids) == stops[-1] and self.ends[ids].sum() == parts * len(some):
+                        self._remember(some, ids, np.concatenate([[0], stops]))
+                        continue
+                self._learn_by_place(some)
+
+    def _learn_by_place(self, words: list[tuple[bytes, str]]) -> None:
+        """Encode words whose parts are not known, and find each one's ids by where they stand."""
+        code = self.tokenizer.encode(" ".join(t for _, t in words), add_special_tokens=False)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in words])])
         at = np.array([a for a, _ in code.offsets], np.int64)
-        bounds = (4 * np.searchsorted(at, starts)).tolist()
-        self.known.update(zip(words, map(ids.__getitem__, map(slice, bounds[:-1], bounds[1:])), strict=True))
+        self._remember(words, np.array(code.ids, "<u4"), np.searchsorted(at, starts))
 
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+    def _remember(self, words: list[tuple[bytes, str]], ids: np.ndarray, bounds: np.ndarray) -> None:
+        raw, cuts = ids.tobytes(), (4 * bounds).tolist()
+        self.known.update(zip([w for w, _ in words], map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
+    def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each UTF-8 text."""
         known = self.known
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        fresh = [w for w in set().union(*split) if w not in known] if split else []
+        split = [(t or b"").split() for t in texts]
+        every = set(chain.from_iterable(split))
+        fresh = every.difference(known)
         if len(known) + len(fresh) > CACHED_WORDS:
             known.clear()
-            fresh = list(set().union(*split))
-        for a in range(0, len(fresh), 20_000):
-            self._learn(fresh[a:a + 20_000])
+            fresh = every
+        self._learn(list(fresh))
         for words in split:
             yield b"".join(map(known.__getitem__, words)) + self.closing
 
@@ -103,7 +136,7 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, encoder: Callable[[], Any
         for batch in batches:
             totals, windows, tails, parts = [], [], [], []
             for ids in (x for a in range(0, batch.num_rows, 500)
-                        for x in encode.batch(batch.column("text").slice(a, 500).to_pylist())):
+                        for x in encode.batch(batch.column("text").slice(a, 500).cast(pa.binary()).to_pylist())):
                 total = len(ids) // 4
                 full = total // window
                 tail = ids[4 * full * window:]
