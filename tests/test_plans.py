@@ -263,6 +263,25 @@ def test_rows_without_a_time_are_stamped(spark, tmp_path):
     assert table.read().count() == 1
 
 
+def test_components_of_wide_rows_equal_a_full_decomposition(spark):
+    import numpy as np
+    from pyspark.ml.linalg import SparseVector
+
+    from tidepost.plans.training import fit_pca
+
+    rng = np.random.default_rng(5)
+    wide, rows = 25_000, []
+    for i in range(120):  # three strong directions over noise
+        at = np.unique(np.concatenate([np.arange(i % 3 * 40, i % 3 * 40 + 40), rng.integers(0, wide, 30)]))
+        rows.append((SparseVector(wide, at, rng.random(len(at)) * np.where(at < 120, 3.0, 0.3)),))
+    model = fit_pca(spark.createDataFrame(rows, ["wide"]).repartition(4), "wide", "out", 3)
+    dense = np.array([r[0].toArray() for r in rows])
+    _, values, vectors = np.linalg.svd(dense - dense.mean(axis=0), full_matrices=False)
+    assert np.allclose(model.explainedVariance.toArray()[:2], (values ** 2 / (values ** 2).sum())[:2], rtol=1e-3)
+    found = model.pc.toArray()
+    assert np.all(np.abs(np.sum(found[:, :2] * vectors[:2].T, axis=0)) > 0.999)
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables are not here")
 def test_registered_queries_equal_their_sql(spark):
     from __spark_entry__ import entry, oracle_sql, queries
