@@ -179,6 +179,37 @@ def test_page_layouts(spark):
     assert parse("search_card")["3"].desc == "N/A"
 
 
+NESTED = """<img src="x" alt="Advert"><div class="top-card-layout__card"><a href="#">no logo</a></div>
+<div class="show-more-less-html__markup"><div>One</div><p>two&#8217;s caf&eacute;<div>three</div></div><div>after</div>"""
+
+
+def test_page_text_is_whole_and_stays_inside(spark):
+    df = spark.createDataFrame([("1", NESTED), ("2", None), ("3", "<div class='show-more-less-html__markup'>cut <b")],
+                               "id string, html string")
+    got = {r.job_id: r for r in pages.postings_from_pages(df, pages.LAYOUTS["api_detail"], F.col("id")).collect()}
+    assert got["1"].desc == "One two’s café three" and got["1"].companies is None
+    assert got["2"].desc is None and got["3"].desc.startswith("cut")
+    signed = spark.createDataFrame([("1", "<div class='job-details-jobs-unified-top-card__primary-description'>Acme<b>Oslo</b></div>"
+                                          "<h2 class='top-card-layout__title'>T</h2>")], "id string, html string")
+    row = pages.postings_from_pages(signed, pages.LAYOUTS["signed_in_detail"], F.col("id")).first()
+    assert (row.location, row.titles) == ("Oslo", "T")
+
+
+def test_cards_of_a_page(spark):
+    lists = [("a", "<div class='base-card big' data-entity-urn='urn:li:jobPosting:7'></div><div class='base-card'></div>"),
+             ("b", None)]
+    got = pages.cards_from_pages(spark.createDataFrame(lists, "page string, html string"), pages.LAYOUTS["guest_list"], "page")
+    assert sorted((r.page, r.card, r.urn) for r in got.collect()) == [("a", 0, "urn:li:jobPosting:7"), ("a", 1, None)]
+    signed = [("a", "<li class='jobs-search-results__list-item' data-job-id='5'></li><li class='jobs-search-results__list-item'>"
+                    "<a class='job-card-list__title--link' href='/jobs/view/9/?x'>t</a></li>")]
+    rows = pages.cards_from_pages(spark.createDataFrame(signed, "page string, html string"), pages.LAYOUTS["signed_in_list"], "page")
+    from tidepost.functions.text import id_from_card
+    assert [r[0] for r in rows.orderBy("card").select(id_from_card(F.col("data_id"), F.col("link"))).collect()] == ["5", "9"]
+    google = [("a", "<li class='iFjolb gws-plugins-horizon-jobs__li-ed'><div class='vNEEBe'>Acme</div></li>")]
+    card = pages.cards_from_pages(spark.createDataFrame(google, "page string, html string"), pages.LAYOUTS["search_card"], "page").first()
+    assert (card.companies, card.titles) == ("Acme", "N/A")
+
+
 def events(spark, path, *rows):
     df = spark.createDataFrame([(i, datetime.datetime.fromisoformat(ts), v) for i, ts, v in rows],
                                "id int, ts timestamp_ntz, v int").coalesce(1)

@@ -1,104 +1,153 @@
-"""Landed pages to typed posting rows: one rule set per page layout."""
+"""Landed pages to typed posting rows and to lists of cards: one rule set per page layout.
+
+A page is taken apart once, in Arrow batches, and all fields of a layout are read from its tree.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepost.functions.html import (attribute, element, first_containing, first_of,
-                                     first_raw, inside,
-                                     posted_at_raw, posted_at_typed)
-from tidepost.functions.text import strip_label
+from tidepost.functions.dom import Node, Select, first_value, parse
+from tidepost.functions.html import posted_at_typed
+from tidepost.session import ship_package
 
 _CARD = "job-details-jobs-unified-top-card__"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Ordered patterns per field (first hit wins): element text, attribute values, or the text of
-    the first of several elements that contains some words."""
+    """Ordered selectors per field; the first that finds something wins.
+
+    ``labels`` are words taken off a field's text. ``posted`` finds the element with the posting time,
+    whose ``datetime`` attribute counts before its text. ``missing`` stands for what is not found. ``cards``
+    are the elements of a list, the first selector with any hit; ``card_id`` names a card.
+    """
 
     source: str
-    texts: Mapping[str, list[str]] = field(default_factory=dict)
-    attributes: Mapping[str, list[str]] = field(default_factory=dict)
-    containing: Mapping[str, tuple[str, str]] = field(default_factory=dict)
-    posted_attribute: list[str] = field(default_factory=list)
-    posted_text: list[str] = field(default_factory=list)
+    fields: Mapping[str, tuple[Select, ...]] = field(default_factory=dict)
+    posted: tuple[Select, ...] = ()
     labels: Mapping[str, str] = field(default_factory=dict)
     missing: str | None = None
+    cards: tuple[Select, ...] = ()
+    card_id: tuple[Select, ...] = ()
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.fields, *(["posted_at_raw"] if self.posted else [])]
+
+    def read(self, root: Node) -> dict[str, str | None]:
+        found = {name: first_value(root, selects) for name, selects in self.fields.items()}
+        for name, label in self.labels.items():
+            found[name] = ((found[name] or "").replace(label, "").strip()) or None
+        if self.missing is not None:
+            found = {name: self.missing if value is None else value for name, value in found.items()}
+        if self.posted:
+            node = next((n for s in self.posted for n in s.all(root)), None)
+            found["posted_at_raw"] = None if node is None else (node.attributes.get("datetime") or node.text() or None)
+        return found
+
+    def card_nodes(self, root: Node) -> list[Node]:
+        for select in self.cards:
+            nodes = list(select.all(root))
+            if nodes:
+                return nodes
+        return []
 
 
 # Where each layout keeps its fields.
-_LOGO = inside("div", "top-card-layout__card", "(?is)<a\\b[^>]*>.*?<img\\b[^>]*?\\balt=[\"']([^\"']*)[\"']")
-_TITLE = inside("div", "top-card-layout__entity-info", element("a"))
-_TIME_ATTRIBUTE = attribute("time", "datetime")
+_LOGO = Select("img", within=Select("a", within=Select("div", "top-card-layout__card")), take="alt")
+_TITLE = Select("a", within=Select("div", "top-card-layout__entity-info"))
+_DESCRIPTION = Select(css=_CARD + "primary-description")
 
 LAYOUTS = {
     "guest_detail": Layout(
         source="LinkedIn",
-        attributes={"companies": [_LOGO]},
-        texts={"titles": [_TITLE],
-               "level": [inside("ul", "description__job-criteria-list", element("li"))],
-               "location": [element("span", "topcard__flavor--bullet")]},
-        posted_attribute=[attribute("span", "datetime", "topcard__flavor--metadata"), _TIME_ATTRIBUTE],
-        posted_text=[element("span", "topcard__flavor--metadata"), element("time")],
+        fields={"companies": (_LOGO,), "titles": (_TITLE,),
+                "level": (Select("li", within=Select("ul", "description__job-criteria-list")),),
+                "location": (Select("span", "topcard__flavor topcard__flavor--bullet"),)},
+        posted=(Select("span", "topcard__flavor--metadata"), Select("time")),
         labels={"level": "Seniority level"}),
     "api_detail": Layout(
         source="LinkedIn",
-        attributes={"companies": [_LOGO]},
-        texts={"titles": [_TITLE], "desc": [element("div", "show-more-less-html__markup")]},
-        posted_attribute=[attribute("[a-z]+", "datetime", "posted-time-ago__text"), _TIME_ATTRIBUTE],
-        posted_text=[element("span", "posted-time-ago__text"), element("time")]),
+        fields={"companies": (_LOGO,), "titles": (_TITLE,), "desc": (Select("div", "show-more-less-html__markup"),)},
+        posted=(Select(css="posted-time-ago__text"), Select("time"))),
     "signed_in_detail": Layout(
         source="LinkedIn",
-        texts={
-            "titles": [element("h1", _CARD + "job-title"), element("div", _CARD + "job-title"),
-                       element("h1"), element("h2", "top-card-layout__title"), element("h2", "t-24")],
-            "companies": ["(?is)<a\\b[^>]*\\bhref=[\"'][^\"']*/company/[^\"']*[\"'][^>]*>(.*?)</a>",
-                          element("div", _CARD + "company-name"),
-                          element("span", "topcard__flavor--bullet"),
-                          inside("div", _CARD + "primary-description", element("a"))],
-            "location": [element("span", _CARD + "bullet"), element("span", "topcard__flavor--bullet"),
-                         inside("div", _CARD + "primary-description",
-                                "(?is)<span\\b[^>]*>.*?</span>\\s*<span\\b[^>]*>(.*?)</span>")],
-            "desc": [element("div", dom_id="workspace"), element("div", "jobs-description__content"),
-                     element("div", "show-more-less-html__markup")]},
-        containing={"level": (element("li", _CARD + "job-insight"), "Experience level")},
-        posted_text=[inside("div", _CARD + "primary-description",
-                            "(?is)<span\\b[^>]*>.*?</span>\\s*<span\\b[^>]*>.*?</span>\\s*<span\\b[^>]*>(.*?)</span>"),
-                     element("span", "posted-time-ago__text")],
+        fields={
+            "titles": (Select(css=_CARD + "job-title"), Select("h1"), Select(css="top-card-layout__title"), Select("h2", "t-24")),
+            "companies": (Select("a", holding=("href", "/company/")), Select(css=_CARD + "company-name"),
+                          Select(css="topcard__flavor--bullet"), Select("a", within=_DESCRIPTION)),
+            "location": (Select(css=_CARD + "bullet"), Select(css="topcard__flavor--bullet"),
+                         Select("span", within=_DESCRIPTION, nth=2), Select(css=_CARD + "primary-description", part=("|", 2))),
+            "desc": (Select(dom_id="workspace"), Select(css="jobs-description__content"),
+                     Select(css="show-more-less-html__markup")),
+            "level": (Select(css=_CARD + "job-insight", contains="Experience level"),),
+            "posted_at_raw": (Select("span", within=_DESCRIPTION, nth=3), Select("span", "tvm__text--low-emphasis", nth=3),
+                              Select(css="posted-time-ago__text"))},
         labels={"level": "Experience level"}),
     "search_card": Layout(
         source="Google",
-        texts={"titles": [element("h1", "LZAQDf")], "companies": [element("div", "vNEEBe")],
-               "location": [element("div", "Qk80Jf")], "desc": [element("span", "HBvzbc")]},
-        missing="N/A"),
+        fields={"titles": (Select("h1", "LZAQDf"),), "companies": (Select("div", "vNEEBe"),),
+                "location": (Select("div", "Qk80Jf"),), "desc": (Select("span", "HBvzbc"),)},
+        missing="N/A", cards=(Select("c-wiz", holding=("data-encoded-docid", "")), Select("li", "iFjolb gws-plugins-horizon-jobs__li-ed"))),
+    "guest_list": Layout(
+        source="LinkedIn", cards=(Select("div", "base-card"),)),
+    "signed_in_list": Layout(
+        source="LinkedIn",
+        cards=(Select("li", "jobs-search-results-list__item"), Select(css="job-card-container"),
+               Select(css="jobs-search-results__list-item")),
+        card_id=(Select("a", "job-card-list__title--link", holding=("href", "view/"), take="href"),)),
 }
 
 
-def field_columns(html: Column, layout: Layout) -> dict[str, Column]:
-    found = {name: first_raw(html, patterns) for name, patterns in layout.attributes.items()}
-    found |= {name: first_of(html, patterns) for name, patterns in layout.texts.items()}
-    found |= {name: first_containing(html, pattern, part)
-              for name, (pattern, part) in layout.containing.items()}
-    for name, label in layout.labels.items():
-        found[name] = F.nullif(strip_label(found[name], label), F.lit(""))
-    if layout.missing is not None:
-        found = {name: F.coalesce(column, F.lit(layout.missing)) for name, column in found.items()}
-    return found
-
-
 def postings_from_pages(pages: DataFrame, layout: Layout, job_id: Column, html: str = "html") -> DataFrame:
     """Typed posting rows from pages of one layout; a field that is not found is NULL."""
-    page = F.col(html)
-    columns = {"job_id": job_id, "source": F.lit(layout.source), **field_columns(page, layout)}
-    if layout.posted_attribute or layout.posted_text:
-        columns["posted_at_raw"] = posted_at_raw(page, layout.posted_attribute, layout.posted_text) \
-            if layout.posted_attribute else first_of(page, layout.posted_text)
-    rows = pages.select(*[column.alias(name) for name, column in columns.items()])
-    if "posted_at_raw" in columns:
-        rows = rows.withColumn("posted_at", posted_at_typed(F.col("posted_at_raw")))
-    return rows.filter(F.col("job_id").isNotNull())
+    ship_package(pages.sparkSession)
+    names = layout.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [layout.read(parse(page)) for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("job_id"), *[pa.array([f[n] for f in found], pa.string()) for n in names]], ["job_id", *names])
+
+    rows = pages.select(job_id.cast("string").alias("job_id"), F.col(html).alias("html")).filter("job_id is not null")
+    rows = rows.mapInArrow(read, ", ".join(f"`{n}` string" for n in ["job_id", *names])).withColumn("source", F.lit(layout.source))
+    rows = rows.select("job_id", "source", *names)
+    return rows.withColumn("posted_at", posted_at_typed(F.col("posted_at_raw"))) if "posted_at_raw" in names else rows
+
+
+def cards_from_pages(pages: DataFrame, layout: Layout, key: str, html: str = "html") -> DataFrame:
+    """(key, card, urn, data_id, link, fields): one row per card of a page, numbered from 0 in page order.
+
+    ``urn``, ``data_id`` and ``link`` are what ids are read from; pages without cards have no rows.
+    """
+    ship_package(pages.sparkSession)
+    names = layout.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[int] = []
+            cards: list[list] = []
+            for i, page in enumerate(batch.column("html").to_pylist()):
+                for number, node in enumerate(layout.card_nodes(parse(page))):
+                    holder = Node("", {}, None, [node])
+                    found = layout.read(holder)
+                    link = first_value(holder, layout.card_id)
+                    rows.append(i)
+                    cards.append([number, node.attributes.get("data-entity-urn"), node.attributes.get("data-job-id"), link,
+                                  *[found[n] for n in names]])
+            columns = list(zip(*cards, strict=True)) if cards else [[] for _ in range(4 + len(names))]
+            kinds = [pa.int32()] + [pa.string()] * (3 + len(names))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+                ["key", "card", "urn", "data_id", "link", *names])
+
+    schema = f"key {dict(pages.dtypes)[key]}, card int, urn string, data_id string, link string"
+    schema += "".join(f", `{n}` string" for n in names)
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(read, schema).withColumnRenamed("key", key)

@@ -357,11 +357,21 @@ ORACLES = {
                round(avg(v) FILTER (WHERE model = 'strict'), 6) AS strict FROM long GROUP BY metric""",
     "prediction_counts": f"WITH {SCORED} SELECT prediction, count(*) AS n FROM scored GROUP BY prediction",
 
-    "page_fields": f"""SELECT CAST(page_id AS VARCHAR) AS job_id, 'Pages' AS source,
-        coalesce(nullif({inner('h2')}, ''), nullif({inner('h1')}, ''), nullif({inner('title')}, '')) AS titles,
-        nullif({attr('a', 'href')}, '') AS companies, nullif({attr('html', 'lang')}, '') AS location,
-        nullif({inner('li')}, '') AS level, nullif({inner('article')}, '') AS "desc",
-        coalesce(nullif({attr('time', 'datetime')}, ''), nullif({inner('time')}, '')) AS posted_at_raw FROM pages""",
+    # From the markers around the parts, not from element patterns.
+    "page_fields": f"""WITH parts AS (SELECT *, {visible("split_part(split_part(html, '<article>', 2), '</article>', 1)")} AS body
+        FROM pages)
+        SELECT CAST(page_id AS VARCHAR) AS job_id, 'Pages' AS source,
+        {visible("split_part(split_part(html, '<h1>', 2), '</h1>', 1)")} AS titles,
+        split_part(split_part(html, 'href="', 2), '"', 1) AS companies,
+        split_part(split_part(html, 'lang="', 2), '"', 1) AS location,
+        {visible("split_part(split_part(html, '<li>', 2), '</li>', 1)")} AS level,
+        'First ' || body || ' Last é' AS "desc",
+        {visible("split_part(split_part(html, '<div class=" + '"ad"' + ">', 2), '</div>', 1)")} AS ad,
+        '2024-01-0' || (page_id % 9 + 1) AS posted_at_raw FROM parts""",
+    "page_cards": f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS card, {visible("split_part(x, '>', 2)")} AS titles,
+        split_part(split_part(x, '"', 1), '/', 2) AS job_id FROM (SELECT page_id, unnest(items) AS x,
+        generate_subscripts(items, 1) AS i FROM (SELECT page_id, list_transform(string_split(split_part(split_part(
+        html, '<nav>', 2), '</nav>', 1), '<li><a href="')[2:], lambda s: split_part(s, '</a>', 1)) AS items FROM pages))""",
     "html_to_text": f"SELECT page_id, {visible('html')} AS text FROM pages",
     "id_from_urn": """SELECT url, job_id FROM (SELECT url, nullif(split_part(CASE WHEN page_id % 10 = 0 THEN 'urn:li'
         ELSE 'urn:li:jobPosting:' || page_id END, ':', 4), '') AS job_id FROM pages) WHERE job_id IS NOT NULL""",

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidepost.functions import html as H
 from tidepost.functions import text as X
+from tidepost.functions.dom import Select
 from tidepost.operators import (embedding, frames, keyed, keywords, metrics, ranking, rating,
                                 scaling, similarity, terms)
 from tidepost.plans import prediction, semantic, training
@@ -316,15 +317,23 @@ def prediction_counts(spark, sf_dir):
 
 PAGE_LAYOUT = pages.Layout(
     source="Pages",
-    texts={"titles": [H.element("h2"), H.element("h1"), H.element("title")],
-           "desc": [H.element("article")], "level": [H.element("li")]},
-    attributes={"location": [H.attribute("html", "lang")], "companies": [H.attribute("a", "href")]},
-    posted_attribute=[H.attribute("time", "datetime")], posted_text=[H.element("time")])
+    fields={"titles": (Select("h2"), Select("h1"), Select("title")), "desc": (Select("div", "body"),),
+            "level": (Select("li"),), "location": (Select("html", take="lang"),), "companies": (Select("a", take="href"),),
+            "ad": (Select("div", "ad"),)},
+    posted=(Select("time"),), cards=(Select("li", within=Select("nav")),))
 
 
 def page_fields(spark, sf_dir):
-    rows = pages.postings_from_pages(V.table(spark, sf_dir, "pages"), PAGE_LAYOUT, F.col("page_id").cast("string"))
-    return rows.select("job_id", "source", "titles", "companies", "location", "level", "desc", "posted_at_raw")
+    rows = pages.postings_from_pages(V.nested_pages(spark, sf_dir), PAGE_LAYOUT, F.col("page_id").cast("string"))
+    return rows.select("job_id", "source", "titles", "companies", "location", "level", "desc", "ad", "posted_at_raw")
+
+
+def page_cards(spark, sf_dir):
+    """One row per entry of each page's menu, with the id its link names."""
+    cards = pages.cards_from_pages(V.table(spark, sf_dir, "pages"), pages.Layout(
+        source="Pages", fields={"titles": (Select("a"),)}, cards=(Select("li", within=Select("nav")),),
+        card_id=(Select("a", take="href"),)), "page_id")
+    return cards.select("page_id", "card", "titles", X.id_from_card(F.col("data_id"), F.concat(F.lit("view"), "link")).alias("job_id"))
 
 
 def html_to_text(spark, sf_dir):
@@ -464,7 +473,7 @@ QUERIES = {f.__name__: f for f in (
     ngram_counts, vocabulary, idf_table, tfidf_weights, apply_tfidf, hash_embed,
     stratified_split, stratified_folds, confusion_matrix, classification_metrics, cv_metric_table,
     prediction_counts,
-    page_fields, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
+    page_fields, page_cards, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
     prompt_build, rating_parse, token_cost,
     stream_dedupe, stream_upsert, stream_score,
     pca_explained, train_eval, predict_new)}

@@ -49,6 +49,14 @@ def postings(spark: SparkSession, sf_dir: str, labels: bool = False, companies:
     return rows.select(*columns)
 
 
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose article is wrapped in nested blocks of one kind, with a time after them."""
+    article = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
+    wrapped = F.concat(F.lit('<div class="x body"><div>First</div>'), article, F.lit('<div><div>Last &#233;</div></div></div>'),
+                       F.lit('<div>Outside</div><time datetime="2024-01-0'), (F.col("page_id") % 9 + 1).cast("string"), F.lit('">x</time>'))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", article, wrapped).alias("html"))
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All postings as once stored: labelled ones are scored, toxic ones lack a title."""
     p = postings(spark, sf_dir, labels=True, companies=True)
