@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepost.session import scratch_path
+from tidepost.session import scratch_path, ship_package as ship
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -24,21 +20,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application.
-
-    The archive is built on the driver and distributed by Spark itself, as with ``--py-files``.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="package-"), os.path.basename(package)), "zip",
-                                  os.path.dirname(package), os.path.basename(package))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
