@@ -244,6 +244,26 @@ ORACLES = {
               FROM lists)
         SELECT list, rank, vec_id, score FROM r WHERE rank <= cap""",
 
+    "semantic_run": f"""WITH {POSTINGS},
+        texts AS (SELECT job_id AS k, "desc" AS t FROM postings WHERE doc_id % 2 <> 0
+                  UNION ALL SELECT CASE item_id WHEN 0 THEN 'first' ELSE 'second' END, text FROM benchmark WHERE item_id < 2),
+        tok AS (SELECT k, unnest(list_filter(string_split_regex(lower(t), '[{_WS}]+'), lambda x: x <> '')) AS t FROM texts),
+        cells AS (SELECT k, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS dim, count(*)::DOUBLE AS c
+                  FROM tok GROUP BY ALL),
+        norms AS (SELECT k, sqrt(sum(c * c)) AS norm FROM cells GROUP BY k),
+        dots AS (SELECT d.k, a.k AS profile, sum(d.c * a.c) AS dot FROM cells d JOIN cells a USING (dim)
+                 WHERE a.k IN ('first', 'second') GROUP BY ALL),
+        scores AS (SELECT p.job_id, q.profile, coalesce(round_even(100 * dot / (n.norm * m.norm), 2), 0) AS score
+                   FROM postings p CROSS JOIN (SELECT unnest(['first', 'second']) AS profile) q
+                   LEFT JOIN dots ON dots.k = p.job_id AND dots.profile = q.profile
+                   LEFT JOIN norms n ON n.k = p.job_id LEFT JOIN norms m ON m.k = q.profile WHERE p.doc_id % 2 <> 0),
+        best AS (SELECT job_id, max(score) AS score FROM scores GROUP BY job_id),
+        lists AS (SELECT profile AS list, job_id, score, 3 AS cap FROM scores
+                  UNION ALL SELECT 'similarity_score', job_id, score, 10 FROM best),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY list ORDER BY score DESC, job_id) AS INTEGER) AS rank FROM lists)
+        SELECT 'table' AS list, 0 AS rank, job_id, coalesce(b.score, 50.0) AS score FROM postings LEFT JOIN best b USING (job_id)
+        UNION ALL SELECT 'csv', 0, job_id, score FROM best
+        UNION ALL SELECT list, rank, job_id, score FROM ranked WHERE rank <= cap""",
     "upsert_replace": f"""WITH {MERGED} SELECT job_id, source, titles, companies, location, "desc",
         similarity_score, score_energy, {_STAMP.format('posted_at')}, scraped_at FROM merged""",
     "score_update": f"""WITH {STORE} SELECT s.job_id,

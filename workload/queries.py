@@ -61,6 +61,24 @@ def semantic_ranking(spark, sf_dir):
     return semantic.report_rows(run, "vec_id", NAMES)
 
 
+def semantic_run(spark, sf_dir):
+    """A run from stored postings, half of them scored, to the updated table, the lists and the CSV."""
+    embed = embedding.hashed_words(64)
+    bench = V.table(spark, sf_dir, "benchmark")
+    first = bench.filter("item_id < 2").select(
+        F.when(F.col("item_id") == 0, "first").otherwise("second").alias("profile"), embed(F.col("text")).alias("embedding"))
+    anchors = similarity.anchor_vectors(first)
+    table = KeyedTable(spark, scratch_path(spark, "jobs"), posting_schema(list(anchors)))
+    scored = F.when(F.col("doc_id") % 2 == 0, F.lit(50.0))
+    table.upsert(V.postings(spark, sf_dir).select("job_id", "source", "titles", "desc", scored.alias("similarity_score"),
+                                                  scored.alias("score_first")), scraped_at="2024-01-31 00:00:00")
+    run = semantic.run(table, anchors, embedder=embed, report_folder=scratch_path(spark, "reports"), run_ts="20240131")
+    stored = table.read().select(F.lit("table").alias("list"), F.lit(0).alias("rank"), "job_id", F.col("similarity_score").alias("score"))
+    landed = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(run.csv_path).select(
+        F.lit("csv").alias("list"), F.lit(0).alias("rank"), "job_id", F.col("similarity_score").cast("double").alias("score"))
+    return stored.unionByName(landed).unionByName(run.report.select("list", "rank", "job_id", "score"))
+
+
 # Keyed table ----------------------------------------------------------------------------------
 
 _STORED = ["job_id", "source", "titles", "companies", "location", "desc", "similarity_score", "score_energy"]
@@ -464,7 +482,7 @@ def predict_new(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    semantic_ranking, profile_scores, topk_overall, topk_per_profile, rank_threshold,
+    semantic_ranking, semantic_run, profile_scores, topk_overall, topk_per_profile, rank_threshold,
     upsert_replace, score_update, new_ids_anti, refetch_anti, unscored_scan, evolve_schema,
     multi_query_dedupe, crawl_budget, search_filter,
     clean_text, clean_text_literal, lemma_lookup, word_count, company_in_desc, fill_defaults,
