@@ -150,6 +150,8 @@ def test_main_text_without_boilerplate(spark):
 def test_blocks_of_broken_markup():
     assert [b.text for b in markup.blocks("<p>a<p>b<div>c</p>d<!-- x --><script>no")] == ["a", "b", "c", "d"]
     assert markup.blocks("<nav><p>x</nav>y")[0].dropped and not markup.blocks("<nav><p>x</nav>y")[1].dropped
+    page = "<div class='page-header'>Site</div><article><div class='post-header'><h1>T</h1></div><p>x</p></article>"
+    assert [(b.text, b.dropped) for b in markup.blocks(page)] == [("Site", True), ("T", False), ("x", False)]
     assert [b.text for b in markup.blocks('<p title="a>b">c</p>&#8217;&eacute;&am')] == ["c", "’é&am"]
 
 

@@ -56,6 +56,8 @@ def _opened(tag: str, attributes: str, parent: _Open) -> _Open:
             names.update(_WORD_PARTS.findall(value.lower()))
             label += "." + _DIGITS.sub("#", value.strip())
     main = parent.main or tag in MAIN_TAGS
+    if parent.main:
+        names.discard("header")  # an article's own header holds its heading
     named = tag not in ("html", "body", "article", "main") and not names.isdisjoint(BOILERPLATE_NAMES)
     outer_header = tag == "header" and not parent.main
     return _Open(tag, f"{parent.path}>{label}", main, parent.dropped or named or outer_header or tag in BOILERPLATE_TAGS)
