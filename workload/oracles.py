@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tidepost.settings import (BIN_WEIGHTS, COST_PER_1K_TOKENS, RATING_PROMPT, STOP_WORDS)
 from workload import views as V
 
@@ -120,6 +122,17 @@ WEIGHTS = """
 weighted AS (SELECT c.job_id, c.term, c.tf * i.idf AS w FROM {counts} c JOIN idf i USING (term))
 SELECT job_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY job_id)), 6) AS weight FROM weighted"""
 
+def field_values(column: str, prefix: str) -> str:
+    """CTEs to ``<prefix>_weighted``: (job_id, slot, value) of one text field."""
+    body = f"""{grams('postings')}, {vocab('postings')},
+weighted AS (SELECT job_id, slot, w / sqrt(sum(w * w) OVER (PARTITION BY job_id)) AS value FROM (
+  SELECT c.job_id, '{column}:' || c.term AS slot, c.tf * i.idf AS w FROM counts c JOIN idf i USING (term)))"""
+    body = body.replace('"desc"', f'"{column}"')
+    for name in ("words", "counts", "n", "vocab", "idf", "weighted"):
+        body = re.sub(rf"(?<!\\)\b{name}\b", f"{prefix}_{name}", body)
+    return body
+
+
 _TOKEN_SET = f"list_distinct(list_filter(string_split_regex(lower(\"desc\"), '[{_WS}]+'), lambda t: t <> ''))"
 
 
@@ -141,6 +154,13 @@ totals AS (SELECT *, {_TOTAL} AS total_weighted_keywords FROM hits),
 features AS (SELECT *, total_weighted_keywords / word_count AS weighted_keywords FROM totals)"""
 
 
+_NUMERIC = [f"keyword_{b}" for b in V.BINS] + ["weighted_keywords"]
+_FEATURE_VALUES = f"""{POSTINGS}, {field_values('desc', 'd')}, {field_values('titles', 't')}, {features('postings', 'job_id')},
+numbers AS (""" + " UNION ALL ".join(
+    f"SELECT job_id, '{c}' AS slot, coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0)"
+    f" AS value FROM features" for c in _NUMERIC) + """),
+vals AS (SELECT * FROM d_weighted UNION ALL SELECT * FROM t_weighted UNION ALL SELECT * FROM numbers WHERE value <> 0)"""
+
 SCORED = POSTINGS + """,
 scored AS (
   SELECT job_id, label, p AS probability, CAST(p >= 0.3 AS INTEGER) AS prediction FROM (
@@ -351,6 +371,10 @@ ORACLES = {
         fresh AS (SELECT * FROM postings WHERE label < 0), {grams('train')}, {vocab('train')},
         {grams('fresh').replace('words AS', 'fresh_words AS').replace('FROM words', 'FROM fresh_words')
                        .replace('counts AS', 'fresh_counts AS')}, """ + WEIGHTS.format(counts="fresh_counts"),
+    "feature_vectors": f"""WITH {_FEATURE_VALUES} SELECT job_id, slot, round(value, 6) AS value FROM vals""",
+    "feature_variance": f"""WITH {_FEATURE_VALUES}, total AS (SELECT count(*) AS m FROM postings)
+        SELECT count(*) AS slots, round(sum((q - s * s / m) / (m - 1)), 5) AS total_variance FROM (
+        SELECT slot, sum(value) AS s, sum(value * value) AS q FROM vals GROUP BY slot), total""",
     "hash_embed": f"""WITH {POSTINGS},
         tok AS (SELECT job_id, unnest(list_filter(string_split_regex(lower("desc"), '[{_WS}]+'),
                 lambda t: t <> '')) AS t FROM postings),

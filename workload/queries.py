@@ -12,7 +12,7 @@ from tidepost.functions.dom import Select
 from tidepost.operators import (embedding, frames, keyed, keywords, metrics, ranking, rating,
                                 scaling, similarity, terms)
 from tidepost.plans import prediction, semantic, training
-from tidepost.session import scratch_path
+from tidepost.session import cut_lineage, scratch_path
 from tidepost.settings import FEATURE_COLUMNS, posting_schema
 from tidepost.sources import csv, pages
 from tidepost.sources.keyed_table import KeyedTable
@@ -185,6 +185,7 @@ def weighted_keywords(spark, sf_dir):
 def minmax_scaled(spark, sf_dir):
     features = keywords.keyword_features(V.postings(spark, sf_dir), "desc", V.BINS) \
         .withColumn("constant", F.lit(3.0)).select("job_id", *FEATURE_COLUMNS, "constant")
+    features = cut_lineage(features)  # made once, for the bounds and for the output
     columns = [*FEATURE_COLUMNS, "constant"]
     scaled = scaling.apply_minmax(features, scaling.fit_minmax(features, columns))
     return scaled.select("job_id", *[F.round(c, 6).alias(c) for c in columns])
@@ -464,6 +465,20 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.keyword_features(p.select("job_id", "titles", "desc", "label"), "desc", V.BINS)
 
 
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.keyword_features(V.postings(spark, sf_dir).select("job_id", "titles", "desc"), "desc", V.BINS)
+
+
+def feature_vectors(spark, sf_dir):
+    return training.feature_rows(_featured(spark, sf_dir), "job_id").withColumn("value", F.round("value", 6))
+
+
+def feature_variance(spark, sf_dir):
+    rows = _featured(spark, sf_dir)
+    return training.feature_variance(training.feature_rows(rows, "job_id"), rows.count()) \
+        .withColumn("total_variance", F.round("total_variance", 5))
+
+
 def pca_explained(spark, sf_dir):
     model = training.fit_features(_labelled(spark, sf_dir))
     return training.explained_variance(model, spark)
@@ -474,9 +489,10 @@ def train_eval(spark, sf_dir):
 
 
 def predict_new(spark, sf_dir):
-    """Trained on the labelled postings, predictions for the unlabelled ones."""
-    rows = _labelled(spark, sf_dir)
-    model = training.train_model(frames.labelled_only(rows), "logistic_regression")
+    """Trained on the labelled postings and saved; loaded again for the unlabelled ones."""
+    rows, path = _labelled(spark, sf_dir), scratch_path(spark, "model")
+    training.train_model(frames.labelled_only(rows), "logistic_regression").save(path)
+    model = training.TrainedModel.load(spark, path)
     return prediction.predict(model, rows.filter("label < 0")).select(
         "job_id", "prediction", "prediction_probability")
 
@@ -494,4 +510,4 @@ QUERIES = {f.__name__: f for f in (
     page_fields, page_cards, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
     prompt_build, rating_parse, token_cost,
     stream_dedupe, stream_upsert, stream_score,
-    pca_explained, train_eval, predict_new)}
+    feature_vectors, feature_variance, pca_explained, train_eval, predict_new)}
