@@ -265,3 +265,14 @@ def test_repeated_replies_do_not_multiply_postings(spark):
     got = {r.k: r.rating for r in rating.attach_ratings(postings, replies, "k", order=["at"]).collect()}
     assert got == {"a": 8, "b": 0}
     assert rating.attach_ratings(postings, replies.drop("at"), "k").count() == 2
+
+
+def test_lemmas_held_or_joined_are_the_same(spark):
+    rows = [(str(i), (["les", "x"] * 3 + ["los"]) if i % 3 else []) for i in range(40)] + [("n", None)]
+    df = spark.createDataFrame(rows, "k string, w array<string>")
+    lemmas = spark.createDataFrame([("les", "le"), ("los", "el"), ("unused", "u")], "surface string, lemma string")
+    held = terms.lemmatize(df, "k", "w", lemmas)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    want = {k: [{"les": "le", "los": "el"}.get(x, x) for x in w or []] for k, w in rows}
+    assert {r.k: r.w or [] for r in held.collect()} == want
+    assert {r.k: r.w or [] for r in terms.lemmatize(df, "k", "w", lemmas, held=1).collect()} == want
