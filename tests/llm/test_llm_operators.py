@@ -110,6 +110,14 @@ def test_raking_meets_all_margins():
     odds = [got[("a", l, t)] / cells[("a", l, t)] / (got[("b", l, t)] / cells[("b", l, t)]) for l in "xy" for t in "pq"]
     assert max(odds) == pytest.approx(min(odds), rel=1e-6)  # product form: raking, not any fit
     assert mixing.rake({}, targets) == {}
+    # A category far too scarce for its target is taken whole and spoils no other share.
+    cells = {(s, l, t): 1.0 if t == "q" else 1000.0 for s, l, t in cells}
+    got = mixing.rake(cells, [{"a": 0.3, "b": 0.7}, {"x": 0.5, "y": 0.5}, {"p": 0.7, "q": 0.3}], 0.5)
+    total = sum(cells.values())
+    assert all(got[k] * 0.5 * total <= cells[k] * (1 + 1e-9) for k in got)
+    assert all(got[k] * 0.5 * total == pytest.approx(cells[k]) for k in got if k[2] == "q")
+    assert sum(got.values()) > 0.69
+    assert sum(w for k, w in got.items() if k[0] == "a") / sum(got.values()) == pytest.approx(0.3, abs=0.02)
 
 
 def test_mixing_keeps_columns_and_shares(spark):

@@ -1,9 +1,10 @@
 """Mixing to target weights by iterative proportional fitting.
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked until their
-sums by source, by language and by topic have the target shares; a cell's weight over its tokens, scaled so
-that the largest is 1, is the probability with which its documents are kept. So the kept tokens have the
-target shares in expectation, and no document is repeated.
+sums by source, by language and by topic have the target shares of ``KEPT_SHARE`` of all tokens; a cell's
+weight over its tokens is the probability with which its documents are kept. No document is repeated, so
+a cell's weight is at most its tokens: what is too scarce for its target is kept whole, and all other
+categories have their shares in expectation.
 
 Categories without a target of their own are one category, ``OTHER``, that gets what the targets leave. So
 the table of cells is bounded by the targets given, whatever the input, and only that table (sums of all
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 OTHER = "(other)"
 SWEEPS = 200
 TOLERANCE = 1e-9
+# Of all tokens, so many are kept if every category has enough.
+KEPT_SHARE = 0.5
 SEED = 20240101
 
 # A document's topic is the first of these that its text shows.
@@ -64,16 +67,19 @@ def _category(column: Column, targets: dict[str, float]) -> Column:
     return F.when(column.isin(list(targets)), column).otherwise(F.lit(OTHER))
 
 
-def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -> dict[tuple[str, ...], float]:
+def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]],
+         kept_share: float = 0.0) -> dict[tuple[str, ...], float]:
     """Weights of the cells whose sums along each margin have the target shares (total 1).
 
-    Each sweep scales the cells to one margin after the other, until nothing moves.
+    Each sweep scales the cells to one margin after the other, until nothing moves. With a
+    ``kept_share`` no weight exceeds what its cell can give to that share of all tokens.
     """
     keys = [k for k, v in cells.items() if v > 0]
     if not keys:
         return {}
     weights = np.array([cells[k] for k in keys], float)
     weights /= weights.sum()
+    most = weights / kept_share if kept_share > 0 else np.full(len(weights), np.inf)
     margins = []
     for axis, shares in enumerate(targets):
         names = sorted({k[axis] for k in keys})
@@ -87,14 +93,14 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]]) -
         before = weights.copy()
         for of, share in margins:
             sums = np.bincount(of, weights, len(share))
-            weights *= (share / np.where(sums > 0, sums, 1))[of]
+            weights = np.minimum(weights * (share / np.where(sums > 0, sums, 1))[of], most)
         if np.abs(weights - before).max() < TOLERANCE:
             break
     return dict(zip(keys, weights.tolist(), strict=True))
 
 
 def calibrated(docs: DataFrame, targets: Targets, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-               lang: str = "lang") -> DataFrame:
+               lang: str = "lang", kept_share: float = KEPT_SHARE) -> DataFrame:
     """All columns of ``docs`` under positional names c0, c1, ..., and cell, n_tokens, probability, kept."""
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -105,11 +111,11 @@ def calibrated(docs: DataFrame, targets: Targets, doc_id: str = "doc_id", text:
     axes = [name for name, _ in targets.margins()]
     sums = marked.groupBy(*axes).agg(F.sum("n_tokens").alias("tokens")).collect()
     cells = {tuple(r[a] for a in axes): float(r.tokens) for r in sums}
-    weights = rake(cells, [shares for _, shares in targets.margins()])
-    rates = {k: w / cells[k] for k, w in weights.items()}
-    top = max(rates.values(), default=0.0) or 1.0
+    weights = rake(cells, [shares for _, shares in targets.margins()], kept_share)
+    budget = kept_share * sum(cells.values())
+    rates = {k: min(w * budget / cells[k], 1.0) for k, w in weights.items()}
     table = docs.sparkSession.createDataFrame(
-        [(*k, float(rates.get(k, top)) / top) for k in cells] or [(*[OTHER] * len(axes), 1.0)],
+        [(*k, float(rates.get(k, 1.0))) for k in cells] or [(*[OTHER] * len(axes), 1.0)],
         ", ".join(f"{a} string" for a in axes) + ", probability double")
     # A number in [0, 1) from the id alone: retries and repeated rows decide alike.
     draw = F.pmod(F.xxhash64(F.lit(SEED), at[doc_id].cast("string")), F.lit(1 << 40)) / float(1 << 40)
