@@ -96,10 +96,10 @@ def templates(pages: DataFrame) -> DataFrame:
     known = roots.filter(F.col("n_pages") >= MIN_PAGES).select("host")
     own = known.join(menus, "host", "left").join(fixed, "host", "left")
     # Few pages: the paths of all hosts together.
-    total = roots.agg(F.sum("n_pages").alias("all_pages"))
+    all_pages = roots.agg(F.sum("n_pages")).scalar()
     shared = (tokens.filter("not is_text and token <> '>'").groupBy("token").agg(
         F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
-        .join(total, F.col("pages") >= F.col("all_pages") * MIN_SHARE)
+        .filter(F.col("pages") >= all_pages * MIN_SHARE)
         .filter(F.col("link_words") > LINK_SHARE * F.col("words"))
         .agg(F.collect_set("token").alias("menus")))
     pooled = shared.select(F.lit(ALL_HOSTS).alias("host"), "menus", F.array().cast("array<string>").alias("fixed"))
