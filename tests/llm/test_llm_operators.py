@@ -133,6 +133,23 @@ def test_mixing_keeps_columns_and_shares(spark):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_keeps_what_has_no_target(spark):
+    sources, langs = ["src0", "hot", None], ["en", "it", None, "fr"]
+    rows = [(i, _prose(i, 20), sources[i % 3], langs[i // 3 % 4]) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kept = mixing.mix(docs).collect()
+    for column, names in (("source", ["hot", None]), ("lang", ["it", None])):
+        n = Counter(getattr(r, column) for r in kept)
+        for name in names:  # half of all tokens are kept
+            assert n[name] == pytest.approx(0.5 * sum(r[2 if column == "source" else 3] == name for r in rows), rel=0.15)
+    alone = docs.filter("lang is null")  # no category with a target has tokens
+    assert mixing.mix(alone).count() == pytest.approx(0.5 * alone.count(), rel=0.15)
+    cells = {("a", "x"): 60.0, (mixing.OTHER, "x"): 40.0}
+    assert mixing.rake(cells, [{"a": 1.0}, {"x": 1.0}])[(mixing.OTHER, "x")] == pytest.approx(0.4)
+    assert mixing.rake(cells, [{"a": 0.9}, {"x": 1.0}])[(mixing.OTHER, "x")] == pytest.approx(0.1)
+    assert mixing.rake(cells, [{"a": 1.0, mixing.OTHER: 0.0}, {"x": 1.0}])[(mixing.OTHER, "x")] == 0
+
+
 # 3 HTML
 
 def test_main_text_without_boilerplate(spark):

@@ -6,9 +6,11 @@ weight over its tokens is the probability with which its documents are kept. No
 a cell's weight is at most its tokens: what is too scarce for its target is kept whole, and all other
 categories have their shares in expectation.
 
-Categories without a target of their own are one category, ``OTHER``, that gets what the targets leave. So
-the table of cells is bounded by the targets given, whatever the input, and only that table (sums of all
-documents) comes to the driver. Sums are folded before the shuffle.
+Categories without a target of their own are one category, ``OTHER``, that gets what the targets leave. Where
+they leave nothing it keeps its own share of the tokens, and the targets divide the rest: having no target is
+no reason to go. Only a target of 0, for a category or for ``OTHER`` by name, takes rows away. So the table of
+cells is bounded by the targets given, whatever the input, and only that table (sums of all documents) comes
+to the driver. Sums are folded before the shuffle.
 
 Defined cases: null category is ``OTHER``; null or empty text has no tokens and goes with its cell's
 probability, a cell without tokens is kept; targets of categories that hold no tokens are left out and the
@@ -41,7 +43,10 @@ PROSE = "prose"
 
 @dataclass(frozen=True)
 class Targets:
-    """Shares of the kept tokens by source, language and topic; each adds up to at most 1."""
+    """Shares of the kept tokens by source, language and topic; each adds up to at most 1.
+
+    ``OTHER`` may be among them; without it, it gets the rest, or its own share if there is no rest.
+    """
 
     source: dict[str, float] = field(default_factory=lambda: {f"src{i}": 0.05 for i in range(20)})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11})
@@ -67,6 +72,17 @@ def _category(column: Column, targets: dict[str, float]) -> Column:
     return F.when(column.isin(list(targets)), column).otherwise(F.lit(OTHER))
 
 
+def _shares(own: dict[str, float], targets: dict[str, float]) -> dict[str, float]:
+    """The target share of each category of one margin, from its ``own`` share of the tokens."""
+    if OTHER not in own or OTHER in targets:
+        return {name: targets.get(name, 0.0) for name in own}
+    left = 1.0 - sum(targets.values())
+    if left > TOLERANCE:
+        return {name: targets.get(name, left) for name in own}
+    listed = sum(targets.get(name, 0.0) for name in own)
+    return {name: own[OTHER] if name == OTHER else targets[name] / (listed or 1.0) * (1.0 - own[OTHER]) for name in own}
+
+
 def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]],
          kept_share: float = 0.0) -> dict[tuple[str, ...], float]:
     """Weights of the cells whose sums along each margin have the target shares (total 1).
@@ -83,8 +99,9 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]],
     margins = []
     for axis, shares in enumerate(targets):
         names = sorted({k[axis] for k in keys})
-        left = max(1.0 - sum(shares.values()), 0.0)
-        share = np.array([shares.get(n, left if n == OTHER else 0.0) for n in names])
+        own = {n: float(sum(w for k, w in zip(keys, weights, strict=True) if k[axis] == n)) for n in names}
+        wanted = _shares(own, shares)
+        share = np.array([wanted[n] for n in names])
         if share.sum() <= 0:
             continue
         index = {n: i for i, n in enumerate(names)}
