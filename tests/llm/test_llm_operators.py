@@ -263,6 +263,20 @@ def test_captures_see_the_list_of_their_day(spark):
     assert not urlfilter.judge(captures, changes.limit(0)).filter("blocked").count()
 
 
+def test_deep_entries_block(spark):
+    deep = "a.b.c.d.e.f.g.h.i.example"
+    changes = spark.createDataFrame([("prefix", "site.org/1/2/3/4/5/6", "p", "add", 0), ("domain", deep, "d", "add", 0)],
+                                    "kind string, value string, category string, action string, at int")
+    captures = spark.createDataFrame(
+        [(1, "http://site.org/1/2/3/4/5/6/7/8", 1), (2, "http://site.org/1/2/3/4/5/66", 1), (3, f"http://{deep}/", 1),
+         (4, f"http://x.y.{deep}", 1), (5, "http://b.c.d.e.f.g.h.i.example/", 1)], "page_id long, url string, fetched_at int")
+    for kinds, want in (("prefix", ["p", "", "", "", ""]), ("domain", ["", "", "d", "d", ""])):
+        got = sorted((r.key, r.categories) for r in urlfilter.judge(captures, changes.filter(F.col("kind") == kinds)).collect())
+        assert got == list(enumerate(want, 1))
+    got = sorted((r.key, r.categories) for r in urlfilter.judge(captures, changes).collect())
+    assert got == [(1, "p"), (2, ""), (3, "d"), (4, "d"), (5, "")]
+
+
 # 6 Near-duplicates
 
 def _brute_components(texts, ids, k, percent):
