@@ -172,6 +172,21 @@ def test_main_text_without_boilerplate(spark):
     assert got[103].text == "a < b"
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in template.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><div>{0}</div><article><h1>Title</h1><p>All of the text</p></article></body></html>"
+    rows = [(i, f"http://copies.example/?{i}", page.format("x")) for i in range(30)]
+    rows += [(100 + i, f"http://near.example/{i}", page.format(i)) for i in range(30)]
+    rows += [(200, "http://few.example/", page.format("x"))]
+    assert set(_texts(spark, rows).values()) == {"Title\nAll of the text"}
+
+
 def test_blocks_of_broken_markup():
     assert [b.text for b in markup.blocks("<p>a<p>b<div>c</p>d<!-- x --><script>no")] == ["a", "b", "c", "d"]
     assert markup.blocks("<nav><p>x</nav>y")[0].dropped and not markup.blocks("<nav><p>x</nav>y")[1].dropped

@@ -12,7 +12,8 @@ forms and the like) are taken out. If a page marks its article, only slots insid
 Hosts with few pages have no vectors to speak of; their slots are judged by the pages of all hosts.
 
 Defined cases: null html is empty and gives empty text; null url or one without host is a host of its own;
-repeated pages count as often as they stand; very long pages are read whole; unclosed markup ends with
+equal pages of a host count once, so a host of copies is one of few pages; a page that says only
+what the template says keeps it; very long pages are read whole; unclosed markup ends with
 the page; no rows give no rows; other columns are not carried.
 """
 
@@ -79,7 +80,11 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """Per host: ``fixed`` (texts of the frame) and ``menus`` (paths of slots that hold links), from (host, html)."""
-    tokens = written(pages.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "is_text").agg(
+    # Copies of a page say nothing about what its template repeats; they are folded before the shuffle.
+    page = F.coalesce("html", F.lit(""))
+    distinct = (pages.withColumn("digest", F.md5(page.cast("binary"))).dropDuplicates(["host", "digest"])
+                .select("host", "html"))
+    tokens = written(distinct.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "is_text").agg(
         *[F.sum(c).alias(c) for c in ("pages", "occurrences", "vector", "words", "link_words")])
         .filter("not is_text or pages > 1"), "tokens")
     roots = tokens.filter("token = '>'").select("host", F.col("pages").alias("n_pages"), F.col("vector").alias("frame"))
@@ -108,9 +113,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_blocks(page: str | None, menus: set[str], fixed: set[str]) -> list[Block]:
     """The blocks of a page that are its article."""
-    left = [b for b in blocks(page) if not b.dropped and b.path not in menus and text_mark(b.text) not in fixed]
-    inside = [b for b in left if b.main]
-    return inside or left
+    left = [b for b in blocks(page) if not b.dropped and b.path not in menus]
+    left = [b for b in left if b.main] or left
+    # Pages of one text differ elsewhere: what is all that a page says is its text, whoever repeats it.
+    return [b for b in left if text_mark(b.text) not in fixed] or left
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
