@@ -187,6 +187,18 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert set(_texts(spark, rows).values()) == {"Title\nAll of the text"}
 
 
+def test_templates_of_layouts_and_empty_pages(spark):
+    one = "<body><div>Legal {1}</div><div>Story {0} of one</div><div>Legal {1}</div></body>"
+    two = "<body><div class=x><p>Tale {0} of two</p><p>Ask us</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", one.format(i, "notice" if i % 5 < 3 else i)) for i in range(40)]
+    rows += [(100 + i, f"http://h.example/x{i}", two.format(i)) for i in range(15)]
+    rows += [(200, "http://h.example/", None), (201, "http://h.example/e", "<body><h1>Error</h1></body>")]
+    got = _texts(spark, rows)
+    assert all(got[i] == (f"Story {i} of one" if i % 5 < 3 else f"Legal {i}\nStory {i} of one\nLegal {i}") for i in range(40))
+    assert all(got[100 + i] == f"Tale {i} of two" for i in range(15))
+    assert (got[200], got[201]) == ("", "Error")
+
+
 def test_blocks_of_broken_markup():
     assert [b.text for b in markup.blocks("<p>a<p>b<div>c</p>d<!-- x --><script>no")] == ["a", "b", "c", "d"]
     assert markup.blocks("<nav><p>x</nav>y")[0].dropped and not markup.blocks("<nav><p>x</nav>y")[1].dropped

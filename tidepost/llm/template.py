@@ -3,10 +3,11 @@
 Tokens are the containers of a page and its blocks of text. Tokens of one host with the same occurrence
 vector (how often on which page) are one equivalence class. A vector is as long as a host has pages, so it
 is not gathered: it is folded into counts and a sum of page hashes times occurrences, which is equal where
-the vectors are, whatever the order of folding. Classes are valid with enough pages, and nest by the paths of
-their containers: the class of tokens that stand once on every page is the host's frame, other classes
-repeat inside it. Text in the frame is the template's own; slots of classes that hold mostly links are menus;
-the slots left are the pages' own text, from which those of named boilerplate (adverts, notices, comments,
+the vectors are, whatever the order of folding. Classes are valid with enough pages. Texts nest in their
+containers by path: a text on most of the pages that have its container, or on the very pages of a class of
+containers (a layout), is the template's own, so an empty page, an error page or a second layout changes
+nothing. What containers hold besides are their slots; slots of classes that hold mostly links are menus; the
+slots left are the pages' own text, from which those of named boilerplate (adverts, notices, comments,
 forms and the like) are taken out. If a page marks its article, only slots inside count.
 
 Hosts with few pages have no vectors to speak of; their slots are judged by the pages of all hosts.
@@ -33,15 +34,22 @@ MIN_PAGES = 10
 # A slot that is on fewer of its host's pages than this share is no slot of the template.
 MIN_SHARE = 0.1
 LINK_SHARE = 0.5
+# A text on this share of the pages that have its container is the template's.
+FRAME_SHARE = 0.5
 _FLUSH_TOKENS = 100_000
 ALL_HOSTS = "*"
 
-_TOKENS = ("host string, token string, is_text boolean, pages long, occurrences long, vector long, words long, "
-           "link_words long")
+_TOKENS = ("host string, token string, within string, is_text boolean, pages long, occurrences long, vector long, "
+           "words long, link_words long")
 
 
-def text_mark(text: str) -> str:
-    return "=" + xxhash.xxh3_64_hexdigest(text)
+def path_mark(path: str) -> str:
+    return xxhash.xxh3_64_hexdigest(path)
+
+
+def text_mark(path: str, text: str) -> str:
+    """A text in its container: the same words elsewhere are another token."""
+    return "=" + path_mark(path) + xxhash.xxh3_64_hexdigest(text)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,9 +60,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = list(sums)
         values = list(zip(*sums.values(), strict=True))
         batch = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[1][0] == "=" for k in keys]),
-             *[pa.array(v, pa.int64()) for v in values]],
-            ["host", "token", "is_text", "pages", "occurrences", "vector", "words", "link_words"])
+            [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]),
+             pa.array([k[1][1:17] if k[1][0] == "=" else path_mark(k[1] if k[1] != ">" else "") for k in keys]),
+             pa.array([k[1][0] == "=" for k in keys]), *[pa.array(v, pa.int64()) for v in values]],
+            ["host", "token", "within", "is_text", "pages", "occurrences", "vector", "words", "link_words"])
         sums.clear()
         return batch
 
@@ -62,7 +71,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             found: dict[str, list[int]] = {"": [1, 0, 0]}  # the page itself: once on each
             for b in blocks(page):
-                for token in (b.path, text_mark(b.text)):
+                for token in (b.path, text_mark(b.path, b.text)):
                     entry = found.setdefault(token, [0, 0, 0])
                     entry[0] += 1
                     entry[1] += b.words
@@ -84,19 +93,26 @@ def templates(pages: DataFrame) -> DataFrame:
     page = F.coalesce("html", F.lit(""))
     distinct = (pages.withColumn("digest", F.md5(page.cast("binary"))).dropDuplicates(["host", "digest"])
                 .select("host", "html"))
-    tokens = written(distinct.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "is_text").agg(
+    tokens = written(distinct.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "within", "is_text").agg(
         *[F.sum(c).alias(c) for c in ("pages", "occurrences", "vector", "words", "link_words")])
-        .filter("not is_text or pages > 1"), "tokens")
-    roots = tokens.filter("token = '>'").select("host", F.col("pages").alias("n_pages"), F.col("vector").alias("frame"))
+        .filter(f"not is_text or pages >= {MIN_PAGES}"), "tokens")
+    roots = tokens.filter("token = '>'").select("host", F.col("pages").alias("n_pages"))
     seen = tokens.filter("token <> '>'").join(roots, "host").filter(F.col("pages") >= F.col("n_pages") * MIN_SHARE)
     # Equivalence classes: equal vectors of one host. Slots of a class are judged together.
-    classes = seen.filter("not is_text").groupBy("host", "n_pages", "frame", "pages", "occurrences", "vector").agg(
+    classes = seen.filter("not is_text").groupBy("host", "n_pages", "pages", "occurrences", "vector").agg(
         F.collect_set("token").alias("paths"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
     large = classes.filter(F.col("n_pages") >= MIN_PAGES)
     menus = (large.filter(F.col("link_words") > LINK_SHARE * F.col("words")).select("host", F.explode("paths").alias("path"))
              .groupBy("host").agg(F.collect_set("path").alias("menus")))
-    fixed = (seen.filter(F.col("is_text") & (F.col("n_pages") >= MIN_PAGES) & (F.col("pages") == F.col("n_pages"))
-                         & (F.col("occurrences") == F.col("pages")) & (F.col("vector") == F.col("frame")))
+    # A text is nested in its container. It is the template's if it is on most pages that have the container, or on
+    # the very pages of a class of containers, a layout.
+    containers = tokens.filter(f"not is_text and pages >= {MIN_PAGES}")
+    texts = tokens.filter("is_text")
+    on_most = (texts.join(containers.select("host", "within", F.col("pages").alias("held")), ["host", "within"])
+               .filter(F.col("pages") >= F.col("held") * FRAME_SHARE))
+    layouts = containers.filter("occurrences = pages").select("host", "pages", "occurrences", "vector").distinct()
+    of_layout = texts.join(layouts, ["host", "pages", "occurrences", "vector"], "left_semi")
+    fixed = (on_most.select("host", "token").unionByName(of_layout.select("host", "token"))
              .groupBy("host").agg(F.collect_set("token").alias("fixed")))
     known = roots.filter(F.col("n_pages") >= MIN_PAGES).select("host")
     own = known.join(menus, "host", "left").join(fixed, "host", "left")
@@ -116,7 +132,7 @@ def main_blocks(page: str | None, menus: set[str], fixed: set[str]) -> list[Bloc
     left = [b for b in blocks(page) if not b.dropped and b.path not in menus]
     left = [b for b in left if b.main] or left
     # Pages of one text differ elsewhere: what is all that a page says is its text, whoever repeats it.
-    return [b for b in left if text_mark(b.text) not in fixed] or left
+    return [b for b in left if text_mark(b.path, b.text) not in fixed] or left
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
