@@ -199,6 +199,18 @@ def test_templates_of_layouts_and_empty_pages(spark):
     assert (got[200], got[201]) == ("", "Error")
 
 
+def test_menus_of_rare_layouts_go(spark):
+    plain = "<body><article><p>Story {0} goes here</p></article></body>"
+    menu = "<body><div class=rare><ul><li><a href=1>Go {0}</a><li><a href=2>Off {0}</a></ul><p>Rare {0} goes here</p></div></body>"
+    few = "<body><div class=rare><ul><li><a href=1>Go {0}</a><li><a href=2>Off {0}</a></ul><p>Few {0} goes here</p></div></body>"
+    rows = [(i, f"http://big.example/{i}", plain.format(i)) for i in range(250)]
+    rows += [(1000 + i, f"http://big.example/r{i}", menu.format(i)) for i in range(12)]
+    rows += [(2000 + i, f"http://{('big', 'few')[i % 2]}2.example/{i}", few.format(i)) for i in range(4)]
+    got = _texts(spark, rows)
+    assert all(got[1000 + i] == f"Rare {i} goes here" for i in range(12))
+    assert all(got[2000 + i] == f"Few {i} goes here" for i in range(4))
+
+
 def test_blocks_of_broken_markup():
     assert [b.text for b in markup.blocks("<p>a<p>b<div>c</p>d<!-- x --><script>no")] == ["a", "b", "c", "d"]
     assert markup.blocks("<nav><p>x</nav>y")[0].dropped and not markup.blocks("<nav><p>x</nav>y")[1].dropped

@@ -10,7 +10,8 @@ nothing. What containers hold besides are their slots; slots of classes that hol
 slots left are the pages' own text, from which those of named boilerplate (adverts, notices, comments,
 forms and the like) are taken out. If a page marks its article, only slots inside count.
 
-Hosts with few pages have no vectors to speak of; their slots are judged by the pages of all hosts.
+Slots on few pages of their host have no vectors to speak of; they are judged by the pages of all hosts. How
+large the host is otherwise does not count.
 
 Defined cases: null html is empty and gives empty text; null url or one without host is a host of its own;
 equal pages of a host count once, so a host of copies is one of few pages; a page that says only
@@ -31,13 +32,12 @@ from tidepost.llm.store import written
 from tidepost.llm.urlfilter import host_of
 
 MIN_PAGES = 10
-# A slot that is on fewer of its host's pages than this share is no slot of the template.
+# So many pages of all hosts, or of a small table this share, judge the slots that a host has on fewer pages.
 MIN_SHARE = 0.1
 LINK_SHARE = 0.5
 # A text on this share of the pages that have its container is the template's.
 FRAME_SHARE = 0.5
 _FLUSH_TOKENS = 100_000
-ALL_HOSTS = "*"
 
 _TOKENS = ("host string, token string, within string, is_text boolean, pages long, occurrences long, vector long, "
            "words long, link_words long")
@@ -88,7 +88,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host: ``fixed`` (texts of the frame) and ``menus`` (paths of slots that hold links), from (host, html)."""
+    """Per host: ``fixed`` (texts of the template) and ``menus`` (paths of slots that hold links), as marks, from (host, html)."""
     # Copies of a page say nothing about what its template repeats; they are folded before the shuffle.
     page = F.coalesce("html", F.lit(""))
     distinct = (pages.withColumn("digest", F.md5(page.cast("binary"))).dropDuplicates(["host", "digest"])
@@ -97,13 +97,20 @@ def templates(pages: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("pages", "occurrences", "vector", "words", "link_words")])
         .filter(f"not is_text or pages >= {MIN_PAGES}"), "tokens")
     roots = tokens.filter("token = '>'").select("host", F.col("pages").alias("n_pages"))
-    seen = tokens.filter("token <> '>'").join(roots, "host").filter(F.col("pages") >= F.col("n_pages") * MIN_SHARE)
+    slots = tokens.filter("not is_text and token <> '>'")
     # Equivalence classes: equal vectors of one host. Slots of a class are judged together.
-    classes = seen.filter("not is_text").groupBy("host", "n_pages", "pages", "occurrences", "vector").agg(
-        F.collect_set("token").alias("paths"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
-    large = classes.filter(F.col("n_pages") >= MIN_PAGES)
-    menus = (large.filter(F.col("link_words") > LINK_SHARE * F.col("words")).select("host", F.explode("paths").alias("path"))
-             .groupBy("host").agg(F.collect_set("path").alias("menus")))
+    classes = slots.filter(f"pages >= {MIN_PAGES}").groupBy("host", "pages", "occurrences", "vector").agg(
+        F.collect_set("within").alias("paths"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
+    own = (classes.filter(F.col("link_words") > LINK_SHARE * F.col("words"))
+           .select("host", F.explode("paths").alias("within")))
+    # Slots on few pages of their host are judged by the pages of all hosts.
+    all_pages = roots.agg(F.sum("n_pages")).scalar()
+    shared = (slots.groupBy("within").agg(
+        F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
+        .filter(F.col("pages") >= F.least(F.lit(MIN_PAGES), all_pages * MIN_SHARE))
+        .filter(F.col("link_words") > LINK_SHARE * F.col("words")))
+    pooled = slots.filter(f"pages < {MIN_PAGES}").join(shared.select("within"), "within").select("host", "within")
+    menus = own.unionByName(pooled).groupBy("host").agg(F.collect_set("within").alias("menus"))
     # A text is nested in its container. It is the template's if it is on most pages that have the container, or on
     # the very pages of a class of containers, a layout.
     containers = tokens.filter(f"not is_text and pages >= {MIN_PAGES}")
@@ -114,22 +121,12 @@ def templates(pages: DataFrame) -> DataFrame:
     of_layout = texts.join(layouts, ["host", "pages", "occurrences", "vector"], "left_semi")
     fixed = (on_most.select("host", "token").unionByName(of_layout.select("host", "token"))
              .groupBy("host").agg(F.collect_set("token").alias("fixed")))
-    known = roots.filter(F.col("n_pages") >= MIN_PAGES).select("host")
-    own = known.join(menus, "host", "left").join(fixed, "host", "left")
-    # Few pages: the paths of all hosts together.
-    all_pages = roots.agg(F.sum("n_pages")).scalar()
-    shared = (tokens.filter("not is_text and token <> '>'").groupBy("token").agg(
-        F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
-        .filter(F.col("pages") >= all_pages * MIN_SHARE)
-        .filter(F.col("link_words") > LINK_SHARE * F.col("words"))
-        .agg(F.collect_set("token").alias("menus")))
-    pooled = shared.select(F.lit(ALL_HOSTS).alias("host"), "menus", F.array().cast("array<string>").alias("fixed"))
-    return own.select("host", "menus", "fixed").unionByName(pooled)
+    return menus.join(fixed, "host", "full")
 
 
 def main_blocks(page: str | None, menus: set[str], fixed: set[str]) -> list[Block]:
     """The blocks of a page that are its article."""
-    left = [b for b in blocks(page) if not b.dropped and b.path not in menus]
+    left = [b for b in blocks(page) if not b.dropped and path_mark(b.path) not in menus]
     left = [b for b in left if b.main] or left
     # Pages of one text differ elsewhere: what is all that a page says is its text, whoever repeats it.
     return [b for b in left if text_mark(b.path, b.text) not in fixed] or left
@@ -140,17 +137,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"),
                         F.coalesce(host_of(F.col(url).cast("string")), F.lit("")).alias("host"))
     deduced = written(templates(rows.select("host", "html")), "templates")
-    common = deduced.filter(F.col("host") == ALL_HOSTS).first()
-    pooled = set((common.menus if common else None) or ())
-    joined = (rows.join(deduced.filter(F.col("host") != ALL_HOSTS).withColumn("known", F.lit(True)), "host", "left")
-              .select("page_id", "url", "html", "known", "menus", "fixed"))
+    joined = rows.join(deduced, "host", "left").select("page_id", "url", "html", "menus", "fixed")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, known, menus, fixed in zip(*[batch.column(c).to_pylist() for c in ("html", "known", "menus", "fixed")],
-                                                 strict=True):
-                found = main_blocks(page, set(menus or ()) if known else pooled, set(fixed or ()))
+            for page, menus, fixed in zip(*[batch.column(c).to_pylist() for c in ("html", "menus", "fixed")], strict=True):
+                found = main_blocks(page, set(menus or ()), set(fixed or ()))
                 texts.append("\n".join(b.text for b in found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
