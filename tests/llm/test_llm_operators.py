@@ -219,6 +219,25 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in markup.blocks('<p title="a>b">c</p>&#8217;&eacute;&am')] == ["c", "’é&am"]
 
 
+def test_names_around_the_article_drop_nothing():
+    def kept(page):
+        return [b.text for b in markup.blocks(page) if not b.dropped]
+
+    body = "<h1>Title</h1><p>Text of it</p>"
+    for name in ("content has-sidebar", "with-comments", "page-header-fixed", "no-ads", "search-result", "social-news"):
+        assert kept(f"<body class=x><div class='{name}'>{body}</div></body>") == ["Title", "Text of it"]
+    for name in ("ad", "ad-728", "big sidebar", "page-header", "cookie_notice", "comments-list", "site-footer"):
+        assert kept(f"<body><div class='{name}'>Name</div><div>{body}</div></body>") == ["Title", "Text of it"]
+    for tag in ("main", "article"):
+        page = "<div class=search><div class=ad>buy</div><{0}>" + body + "</{0}><div class=comments><p>nice</p></div></div>"
+        assert kept(page.format(tag)) == ["Title", "Text of it"]
+    long = "<div class=comments><p>" + "many words " * 20 + "</p></div>"
+    assert kept(f"<div class=search><article>{body}{long}</article></div>") == ["Title", "Text of it"]
+    assert kept(f"<div class=widget><a href=1>All the links of the menu</a>{body}</div><p>End</p>")[1:] == ["Title", "Text of it", "End"]
+    related = "<div class=related><article><p>A teaser that is longer than the article itself</p></article></div>"
+    assert kept(f"<article>{body}</article>{related}") == ["Title", "Text of it"]
+
+
 # 4 Packing
 
 def _check_pieces(pieces, ids, window):

@@ -18,6 +18,10 @@ BOILERPLATE_NAMES = frozenset(
     "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager "
     "pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar widget contentinfo complementary search alert".split())
+# Words that add nothing to such a name: "page-header" and "sidebar_left" are one, "has-sidebar" is not.
+HOLDER_WORDS = frozenset(
+    "area articles bar block bottom box container content entry group inner items left links list page panel post posts "
+    "right section site stories top unit wrap wrapper".split())
 MAIN_TAGS = frozenset(("article", "main"))
 _CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
               "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -40,34 +44,65 @@ class Block:
     dropped: bool
 
 
+@dataclass(slots=True, eq=False)
+class _Named:
+    """A container dropped for its name only; void if it turns out to hold what the page is about."""
+
+    words: int = 0
+    mains: int = 0
+    articles: int = 0
+
+
 @dataclass(slots=True)
 class _Open:
     tag: str
     path: str
     main: bool
     dropped: bool
+    named: tuple[_Named, ...] = ()
+
+
+def _is_boilerplate(name: str, in_main: bool) -> bool:
+    parts = set(_WORD_PARTS.findall(name))
+    if in_main:
+        parts.discard("header")  # an article's own header holds its heading
+    return not parts.isdisjoint(BOILERPLATE_NAMES) and parts <= BOILERPLATE_NAMES | HOLDER_WORDS
 
 
 def _opened(tag: str, attributes: str, parent: _Open) -> _Open:
-    label, names = tag, set()
+    label, names = tag, []
     if "=" in attributes:
         for match in _NAMES.finditer(attributes):
             value = match.group(2) or match.group(3) or match.group(4) or ""
-            names.update(_WORD_PARTS.findall(value.lower()))
+            names.extend(value.lower().split())
             label += "." + _DIGITS.sub("#", value.strip())
     main = parent.main or tag in MAIN_TAGS
-    if parent.main:
-        names.discard("header")  # an article's own header holds its heading
-    named = tag not in ("html", "body", "article", "main") and not names.isdisjoint(BOILERPLATE_NAMES)
+    named = parent.named
+    if tag not in ("html", "body", "article", "main") and any(_is_boilerplate(n, parent.main) for n in names):
+        named = (*named, _Named())
     outer_header = tag == "header" and not parent.main
-    return _Open(tag, f"{parent.path}>{label}", main, parent.dropped or named or outer_header or tag in BOILERPLATE_TAGS)
+    return _Open(tag, f"{parent.path}>{label}", main, parent.dropped or outer_header or tag in BOILERPLATE_TAGS, named)
+
+
+def _drop_named(found: list[tuple[Block, tuple[_Named, ...]]], articles: int, outside: int) -> None:
+    """Drop what named containers hold, but for those around the page's article or, without one, most of its text."""
+    total = 0
+    for block, named in found:
+        if not block.dropped:
+            total += block.words - block.link_words
+            for n in named:
+                n.words += block.words - block.link_words
+    for block, named in found:
+        block.dropped = block.dropped or any(not (n.mains or not outside and (
+            n.articles == 1 or 2 * n.words > total and (n.articles or not articles))) for n in named)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order; white space inside each is one space, character references are decoded."""
-    out: list[Block] = []
+    found: list[tuple[Block, tuple[_Named, ...]]] = []
     if not page:
-        return out
+        return []
+    articles = outside = 0
     stack = [_Open("", "", False, False)]
     parts: list[str] = []
     links: list[str] = []
@@ -86,7 +121,7 @@ def blocks(page: str | None) -> list[Block]:
             if words:
                 top = stack[-1]
                 linked = len(html.unescape("".join(links)).split()) if links else 0
-                out.append(Block(top.path, " ".join(words), len(words), linked, top.main, top.dropped))
+                found.append((Block(top.path, " ".join(words), len(words), linked, top.main, top.dropped), top.named))
             parts.clear()
             links.clear()
 
@@ -124,5 +159,12 @@ def blocks(page: str | None) -> list[Block]:
                 if ends and stack[-1].tag in ends:
                     stack.pop()
             stack.append(_opened(tag, match.group(2) or "", stack[-1]))
+            if tag in MAIN_TAGS and not stack[-1].dropped:
+                articles += 1
+                outside += not stack[-1].named
+                for n in stack[-1].named:
+                    n.mains += tag == "main"
+                    n.articles += tag == "article"
     flush()
-    return out
+    _drop_named(found, articles, outside)
+    return [block for block, _ in found]
