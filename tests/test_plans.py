@@ -12,6 +12,7 @@ from tidepost.settings import posting_schema
 from tidepost.sources import csv, pages
 from tidepost.sources.keyed_table import KeyedTable
 from tidepost.streaming import ingest
+from workload import queries
 
 
 def postings(spark, *rows):
@@ -269,6 +270,23 @@ def test_declared_order_holds_across_batches(spark, tmp_path):
     assert go() == {1: 5, 2: 3}
 
 
+def test_deliveries_hold_all_events_in_own_files(spark, tmp_path):
+    rows = [(i, i % 7, "view", 1.0, None if i % 10 == 0 else datetime.datetime(2024, 1, 1 + i % 31)) for i in range(-40, 260)]
+    rows.append((None, 99, "view", 1.0, datetime.datetime(2024, 1, 5)))
+    schema = "event_id long, user_id long, event_type string, value double, ts timestamp_ntz"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    paths, _ = queries._late_event_files(spark, str(tmp_path))
+    files = [spark.read.parquet(p) for p in paths]
+    assert sorted(map(repr, files[0].union(files[1]).collect())) == sorted(map(repr, spark.createDataFrame(rows, schema).collect()))
+    assert all(len(f.inputFiles()) > 4 for f in files)
+    got = {r.user_id: (r.ts, r.event_id) for r in queries.stream_upsert(spark, str(tmp_path)).collect()}
+    want = {}
+    for event, user, _, _, ts in rows:
+        mark = (ts.strftime("%Y-%m-%d %H:%M:%S") if ts else "", event or 0)
+        want[user] = max(want.get(user, ("", -999)), mark)
+    assert {u: (ts or "", e or 0) for u, (ts, e) in got.items()} == want
+
+
 def test_csvs_are_read_by_header(spark, tmp_path):
     from tidepost.sources import csv
 

@@ -411,14 +411,17 @@ def token_cost(spark, sf_dir):
 
 # Streaming ------------------------------------------------------------------------------------
 
+_DELIVERIES = ("day(ts) >= 25", "day(ts) >= 17 and day(ts) < 25", "day(ts) >= 9 and day(ts) < 17", "day(ts) < 9 or ts is null")
+
+
 def _late_event_files(spark: SparkSession, sf_dir: str) -> tuple[list[str], object]:
-    """Events as files of two sources, each delivering its newest days first."""
+    """Events as files of two sources, each delivering its newest days first and undated events last."""
     events = V.table(spark, sf_dir, "events")
     paths = [scratch_path(spark, f"events-{i}") for i in range(2)]
     for i, path in enumerate(paths):
-        own = events.filter(F.col("event_id") % 2 == i)
-        for low, high in ((25, 32), (17, 25), (9, 17), (0, 9)):
-            own.filter(f"day(ts) >= {low} and day(ts) < {high}").coalesce(1).write.mode("append").parquet(path)
+        own = events.filter(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == i)
+        for days in _DELIVERIES:
+            own.filter(days).write.mode("append").parquet(path)
     return paths, events.schema
 
 
@@ -443,7 +446,8 @@ def stream_upsert(spark, sf_dir):
     paths, schema = _late_event_files(spark, sf_dir)
     users = KeyedTable(spark, scratch_path(spark, "users"), schema, key="user_id", order=["ts", "event_id"], by_order=True)
     for path in paths:
-        stream = ingest.posting_stream(spark, path, schema, 1)
+        files = -(-len(spark.read.schema(schema).parquet(path).inputFiles()) // len(_DELIVERIES))
+        stream = ingest.posting_stream(spark, path, schema, max(files, 1))
         ingest.upsert_stream(stream, users, scratch_path(spark, "ckpt")).awaitTermination()
     return users.read().select("user_id", "event_id", "event_type", "value", _ts("ts"))
 
