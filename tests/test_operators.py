@@ -276,3 +276,13 @@ def test_lemmas_held_or_joined_are_the_same(spark):
     want = {k: [{"les": "le", "los": "el"}.get(x, x) for x in w or []] for k, w in rows}
     assert {r.k: r.w or [] for r in held.collect()} == want
     assert {r.k: r.w or [] for r in terms.lemmatize(df, "k", "w", lemmas, held=1).collect()} == want
+
+
+def test_lemmas_of_nulls_and_repeated_keys(spark):
+    rows = [("a", ["les", None, "x"]), ("a", ["x", "les"]), ("a", ["x", "les"]), ("b", None), ("c", []), (None, ["los"]), ("d", [None])]
+    df = spark.createDataFrame(rows, "k string, w array<string>")
+    lemmas = spark.createDataFrame([("les", "le"), ("los", "el"), (None, "none"), ("x", None)], "surface string, lemma string")
+    want = [(k, w and [{"les": "le", "los": "el"}.get(x, x) for x in w]) for k, w in rows]
+    for held in (terms.HELD_LEMMAS, 1):
+        got = terms.lemmatize(df, "k", "w", lemmas, held=held).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
