@@ -53,3 +53,37 @@ SELECT c.page_id, c.url, c.host, CAST(c.fetched_at AS VARCHAR) AS fetched_at, f.
        coalesce(f.n_entries, 0) AS n_entries
 FROM captures c LEFT JOIN folded f USING (page_id)
 """
+
+# Vectors of 64 components: parts of four. A nearest entry is the least of distance x 64 + entry.
+_ASSIGN = """near{k} AS (
+  SELECT s.id, s.p, min(((s.c1 - b.c1) ** 2 + (s.c2 - b.c2) ** 2 + (s.c3 - b.c3) ** 2 + (s.c4 - b.c4) ** 2)::BIGINT * 64 + b.e) AS m
+  FROM parts s JOIN book{k} b ON s.p = b.p GROUP BY s.id, s.p)"""
+_REFINE = """moved{k} AS (
+  SELECT s.p, n.m % 64 AS e, floor(sum(s.c1) / count(*))::BIGINT AS c1, floor(sum(s.c2) / count(*))::BIGINT AS c2,
+         floor(sum(s.c3) / count(*))::BIGINT AS c3, floor(sum(s.c4) / count(*))::BIGINT AS c4
+  FROM parts s JOIN near{k} n ON s.id = n.id AND s.p = n.p GROUP BY s.p, n.m % 64),
+book{next} AS (
+  SELECT b.p, b.e, coalesce(m.c1, b.c1) AS c1, coalesce(m.c2, b.c2) AS c2, coalesce(m.c3, b.c3) AS c3, coalesce(m.c4, b.c4) AS c4
+  FROM book{k} b LEFT JOIN moved{k} m ON b.p = m.p AND b.e = m.e)"""
+
+ORACLES["op13_grid_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS id, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (
+  SELECT id, r.p::BIGINT AS p, v[r.p * 4 + 1] AS c1, v[r.p * 4 + 2] AS c2, v[r.p * 4 + 3] AS c3, v[r.p * 4 + 4] AS c4
+  FROM kept, range(16) r(p)),
+book0 AS (SELECT p, id AS e, c1, c2, c3, c4 FROM parts WHERE id < 64),
+{_ASSIGN.format(k=0)}, {_REFINE.format(k=0, next=1)},
+{_ASSIGN.format(k=1)}, {_REFINE.format(k=1, next=2)},
+{_ASSIGN.format(k=2)},
+coded AS (
+  SELECT id, string_agg(printf('%02x', (m % 64)::INTEGER), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error
+  FROM near2 GROUP BY id),
+digest AS (
+  SELECT sha256(string_agg(c1 || ',' || c2 || ',' || c3 || ',' || c4, ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, d.codebooks_sha256
+FROM kept k JOIN coded c USING (id), digest d
+"""

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import (fingerprint, license, linededup, mixing, packing, quality, setsketch, template,
+from tidepost.llm import (fingerprint, gridcodes, license, linededup, mixing, packing, quality, setsketch, template,
                           urlfilter, warc)
 from tidepost.llm.store import ship, table
 
@@ -101,3 +101,10 @@ def op5_dated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = gridcodes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return rows.select(F.col("key").alias("vec_id"), gridcodes.hex_codes(F.col("codes")).alias("code"), "error",
+                       "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
