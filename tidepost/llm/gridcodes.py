@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepost.llm.store import ship, written
+from tidepost.llm.words import seeds
 
 PARTS = 16
 ENTRIES = 64
@@ -78,13 +79,12 @@ class GridCells:
         self.held = np.zeros((0, len(entries)), bool)
 
     def _edge(self) -> int:
-        """A power of two near half the usual distance of an entry from its nearest neighbour, by component."""
+        """A power of two near the usual distance of an entry from its nearest neighbour."""
         gaps = ((self.entries[:, None, :] - self.entries[None, :, :]).astype(float) ** 2).sum(axis=2)
         gaps[gaps == 0] = np.inf
         near = np.sqrt(gaps.min(axis=1))
         near = near[np.isfinite(near)]
-        width = max(self.entries.shape[1], 1)
-        usual = float(np.median(near)) / np.sqrt(width) / 2 if len(near) else 1.0
+        usual = float(np.median(near)) if len(near) else 1.0
         return 1 << max(int(np.log2(max(usual, 1.0))), 0)
 
     def candidates(self, cells: np.ndarray) -> np.ndarray:
@@ -98,12 +98,13 @@ class GridCells:
 
     def masks(self, cells: np.ndarray) -> np.ndarray:
         """``candidates`` of every row's cell, through the memo."""
-        cells = np.ascontiguousarray(cells)
-        packed = cells.view(np.dtype((np.void, cells.dtype.itemsize * cells.shape[1]))).ravel()
-        _, first, which = np.unique(packed, return_index=True, return_inverse=True)
+        hashes = (cells * seeds(cells.shape[1], 13).view(np.int64)).sum(axis=1)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if not np.array_equal(cells[first][which], cells):  # two cells of one hash
+            _, first, which = np.unique(cells, axis=0, return_index=True, return_inverse=True)
         if len(self.rows) + len(first) > MEMO_CELLS:
             self.rows, self.held = {}, self.held[:0]
-        keys = [x.tobytes() for x in packed[first]]
+        keys = [x.tobytes() for x in cells[first]]
         new = [i for i, key in enumerate(keys) if key not in self.rows]
         if new:
             self.rows.update((keys[i], len(self.held) + j) for j, i in enumerate(new))

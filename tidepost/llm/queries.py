@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import (fingerprint, gridcodes, license, linededup, mixing, packing, quality, setsketch, template,
+from tidepost.llm import (alignment, fingerprint, gridcodes, license, linededup, mixing, packing, quality, setsketch, template,
                           urlfilter, warc)
 from tidepost.llm.store import ship, table
 
@@ -108,3 +108,11 @@ def op13_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, books = gridcodes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
     return rows.select(F.col("key").alias("vec_id"), gridcodes.hex_codes(F.col("codes")).alias("code"), "error",
                        "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@_query
+def op12_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", *paths).withColumnRenamed("key", "doc_id")
