@@ -358,7 +358,7 @@ def align(df: DataFrame, key: str, text: str, path_a: str, path_b: str) -> DataF
     # An id of A is linked with at most as many ids as B has.
     highest = F.max("count").over(Window.partitionBy(F.shiftright("pair", 32)))
     counted = written(counts.withColumn("best", F.col("count") == highest), "pair-counts")
-    answers = asked.select("block", "i", "pair").join(counted, "pair").select("block", "i", "count", "best")
+    answers = asked.select("block", "i", "pair").join(counted, "pair").select(F.col("block").alias("of"), "i", "count", "best")
     documents = both.filter("pairs is null").select("block", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "at", "times")
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -380,7 +380,7 @@ def align(df: DataFrame, key: str, text: str, path_a: str, path_b: str) -> DataF
                         ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     out = (f"key {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
-    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, out)
+    return documents.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(summed, out)
 
 
 def id_links(df: DataFrame, text: str, path_a: str, path_b: str) -> DataFrame:
