@@ -7,8 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepost.llm import (alignment, fingerprint, gridcodes, license, linededup, mixing, packing, quality, setsketch, template,
-                          urlfilter, warc)
+from tidepost.llm import (alignment, fingerprint, gridcodes, license, linededup, mixing, packing, quality, secrets, setsketch,
+                          template, urlfilter, warc)
 from tidepost.llm.store import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op12_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", *paths).withColumnRenamed("key", "doc_id")
+
+
+@_query
+def op11_secret_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), "doc_id", "text").drop("found").withColumnRenamed("key", "doc_id")
