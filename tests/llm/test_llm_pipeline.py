@@ -37,5 +37,5 @@ def test_stages_keep_columns_and_narrow(spark, tmp_path):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
