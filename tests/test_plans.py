@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepost.operators import embedding, similarity
-from tidepost.plans import prediction, semantic, training
+from tidepost.plans import components, prediction, semantic, training
 from tidepost.settings import posting_schema
 from tidepost.sources import csv, pages
 from tidepost.sources.keyed_table import KeyedTable
@@ -99,11 +99,21 @@ def labelled(spark, n=60):
     return prediction.new_posting_features([df])
 
 
+def dense_features(df, key):
+    """The long features as a matrix, rows by key."""
+    long = training.feature_rows(df, key).collect()
+    keys = sorted({r[key] for r in df.select(key).collect()})
+    slots = sorted({r.slot for r in long})
+    wide = np.zeros((len(keys), len(slots)))
+    for r in long:
+        wide[keys.index(r[key]), slots.index(r.slot)] = r.value
+    return keys, wide
+
+
 def test_features_match_a_dense_computation(spark):
-    """tf-idf with smooth idf, unit rows, scaled columns, then centred PCA."""
+    """tf-idf with smooth idf, unit rows, scaled columns, then centred principal components."""
     df = labelled(spark, 20)
-    flat = training.fit_features(df, components=None)
-    wide = np.array([r.features.toArray() for r in training.features_of(flat, df, ["job_id"]).orderBy("job_id").collect()])
+    _, wide = dense_features(df, "job_id")
     fitted = training.fit_features(df, components=3)
     got = np.array([r.features.toArray() for r in training.features_of(fitted, df, ["job_id"]).orderBy("job_id").collect()])
     centred = wide - wide.mean(axis=0)
@@ -114,6 +124,40 @@ def test_features_match_a_dense_computation(spark):
     assert shares == pytest.approx(list((s ** 2 / (s ** 2).sum())[:3]))
 
 
+def test_folds_of_one_pass_equal_fits_of_their_own(spark, monkeypatch):
+    """Features of each fold, in blocks and shards of a few rows, against a model fitted on the fold's rows alone."""
+    monkeypatch.setattr(components, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(components, "SHARD_TERMS", 7)
+    monkeypatch.setattr(components, "FAN_IN", 2)
+    df = labelled(spark, 40).withColumn("fold", F.col("job_id").cast("int") % 3)
+    fits = [frozenset({1, 2}), frozenset({0, 2}), frozenset({0, 1, 2})]
+    options = components.Options(components=2, max_features=60)
+    ready = components.prepared(df, "job_id", F.col("fold"), fits, options)
+    found = components.principal_components(ready)
+    together = components.with_features(ready, found).select("job_id", "fit", "train", "features").collect()
+    for i, fit in enumerate(fits):
+        own = df.filter(F.col("fold").isin(*fit))
+        model = components.fit_features(own, components=2, max_features=60)
+        want = {r.job_id: r.features.toArray() for r in training.features_of(model, df, ["job_id"]).collect()}
+        got = {r.job_id: r.features.toArray() for r in together if r.fit == i}
+        assert {r.job_id for r in together if r.fit == i and r.train} == {r.job_id for r in own.collect()}
+        keys = sorted(want)
+        a, b = (np.array([x[k] for k in keys]) for x in (got, want))
+        assert a.shape == b.shape == (40, 2) and np.allclose(np.abs(a), np.abs(b), atol=1e-5)
+        assert model.explained == pytest.approx(found.variance[i].tolist(), abs=1e-6)
+        assert ready.sizes[i] == own.count()
+
+
+def test_a_model_survives_saving(spark, tmp_path):
+    df = labelled(spark, 20)
+    model = training.fit_features(df, components=3)
+    model.save(str(tmp_path / "m"))
+    back = components.FeatureModel.load(spark, str(tmp_path / "m"))
+    new = df.limit(5).withColumn("titles", F.lit(None).cast("string"))
+    a, b = (sorted((r.job_id, *r.features.toArray()) for r in training.features_of(m, new, ["job_id"]).collect()) for m in (model, back))
+    assert a == b and len(a) == 5
+
+
 def test_train_evaluate_save_and_predict(spark, tmp_path):
     df = labelled(spark)
     result = training.evaluate_models(df, "job_id", models=("logistic_regression", "decision_tree"), folds=2,
@@ -313,22 +357,26 @@ def test_rows_without_a_time_are_stamped(spark, tmp_path):
 
 
 def test_components_of_wide_rows_equal_a_full_decomposition(spark):
-    import numpy as np
-    from pyspark.ml.linalg import SparseVector
-
-    from tidepost.plans.training import fit_pca
-
     rng = np.random.default_rng(5)
     wide, rows = 25_000, []
     for i in range(120):  # three strong directions over noise
         at = np.unique(np.concatenate([np.arange(i % 3 * 40, i % 3 * 40 + 40), rng.integers(0, wide, 30)]))
-        rows.append((SparseVector(wide, at, rng.random(len(at)) * np.where(at < 120, 3.0, 0.3)),))
-    model = fit_pca(spark.createDataFrame(rows, ["wide"]).repartition(4), "wide", "out", 3)
-    dense = np.array([r[0].toArray() for r in rows])
-    _, values, vectors = np.linalg.svd(dense - dense.mean(axis=0), full_matrices=False)
-    assert np.allclose(model.explainedVariance.toArray()[:2], (values ** 2 / (values ** 2).sum())[:2], rtol=1e-3)
-    found = model.pc.toArray()
-    assert np.all(np.abs(np.sum(found[:, :2] * vectors[:2].T, axis=0)) > 0.999)
+        weights = rng.random(len(at)) * np.where(at < 120, 3.0, 0.3)
+        rows.append((i % 2, 0, i, i * 7919, True, at.tolist(), weights.tolist(), 0.0, [], []))
+    cells = spark.createDataFrame(rows, components._CELLS).repartition(4)
+    ready = components.Prepared(None, cells, None, None, [120], 2, 5, components.Options(components=3))
+    found = components.principal_components(ready)
+    dense = np.zeros((120, wide))
+    for r in rows:
+        dense[r[2], r[5]] = r[6]
+    u, values, vectors = np.linalg.svd(dense - dense.mean(axis=0), full_matrices=False)
+    assert np.allclose(found.variance[0][:2], (values ** 2 / (values ** 2).sum())[:2], rtol=1e-3)
+    basis = np.zeros((wide, 3))
+    for r in components.loadings(found, 0).collect():
+        basis[r.id] = r.loading
+    assert np.all(np.abs(np.sum(basis[:, :2] * vectors[:2].T, axis=0)) > 0.999)
+    scores = np.array([r.scores for r in found.scores.orderBy("row").collect()])
+    assert np.allclose(np.abs(scores[:, :2]), np.abs(u[:, :2] * values[:2]), rtol=1e-2, atol=1e-2)
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables are not here")
