@@ -397,3 +397,22 @@ def test_registered_queries_equal_their_sql(spark):
     own = {q for q in queries() if q != "pipeline" and not re.match(r"op\d+_", q)}
     assert own - set(oracle_sql()) == {"pca_explained", "train_eval", "predict_new"}
     assert entry(spark).count() == 22
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """A checkout without the subpackage, with and without the pipeline, still has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    for left in ("with", "without"):
+        if left == "without":
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True,
+                              env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        count, piped, known = done.stdout.split()[-3:]
+        assert int(count) == len(queries.QUERIES) and piped == "False" and known == "True", done.stderr

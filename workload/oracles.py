@@ -386,6 +386,11 @@ ORACLES = {
         SELECT doc_id, quality, CAST(pos <= floor(size * 0.25 + 0.5) AS INTEGER) AS is_test FROM placed""",
     "stratified_folds": f"""WITH {placed('labels', 'doc_id, quality', 'quality', 'doc_id')}
         SELECT doc_id, quality, {FOLD} FROM placed""",
+    "fold_sizes": f"""WITH known AS (SELECT d.doc_id, l.quality AS label FROM documents d JOIN labels l USING (doc_id)
+        WHERE l.quality >= 0), {placed('known', 'doc_id, label', 'label', 'doc_id')}
+        SELECT fold, label, count(*) AS n, count(*) AS n_predicted FROM (SELECT label, {FOLD} FROM placed) GROUP BY fold, label""",
+    "confusion_held_out": """SELECT label, CAST(floor(count(*) * 0.25 + 0.5) AS BIGINT) AS n FROM (
+        SELECT l.quality AS label FROM documents d JOIN labels l USING (doc_id) WHERE l.quality >= 0) GROUP BY label""",
     "confusion_matrix": f"""WITH {SCORED} SELECT label, count(*) FILTER (WHERE prediction = 0) AS predicted_0,
         count(*) FILTER (WHERE prediction = 1) AS predicted_1 FROM scored GROUP BY label""",
     "classification_metrics": f"""WITH {SCORED}, {metric_columns('', 'scored')} SELECT round(accuracy, 6) AS accuracy,

@@ -492,6 +492,19 @@ def train_eval(spark, sf_dir):
     return training.evaluate_models(frames.labelled_only(_labelled(spark, sf_dir)), "job_id").table
 
 
+def fold_sizes(spark, sf_dir):
+    """Rows of each class that every fold was judged by, over the predictions of one classifier."""
+    run = training.evaluate_models(frames.labelled_only(_labelled(spark, sf_dir)), "job_id", models=("logistic_regression",))
+    return run.predictions.groupBy("fold", "label").agg(F.count("*").alias("n"), F.count("prediction").alias("n_predicted"))
+
+
+def confusion_held_out(spark, sf_dir):
+    """Rows of the confusion matrix on the hold-out, whose cells add up to the class's share of it."""
+    run = training.evaluate_models(frames.labelled_only(_labelled(spark, sf_dir)), "job_id",
+                                   models=("logistic_regression",), refit=("logistic_regression",))
+    return run.confusion.select("label", (F.col("predicted_0") + F.col("predicted_1")).alias("n"))
+
+
 def predict_new(spark, sf_dir):
     """Trained on the labelled postings and saved; loaded again for the unlabelled ones."""
     rows, path = _labelled(spark, sf_dir), scratch_path(spark, "model")
@@ -514,4 +527,4 @@ QUERIES = {f.__name__: f for f in (
     page_fields, page_cards, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
     prompt_build, rating_parse, token_cost,
     stream_dedupe, stream_upsert, stream_score,
-    feature_vectors, feature_variance, pca_explained, train_eval, predict_new)}
+    feature_vectors, feature_variance, pca_explained, train_eval, fold_sizes, confusion_held_out, predict_new)}
