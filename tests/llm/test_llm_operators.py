@@ -63,6 +63,14 @@ def test_runs_do_not_cross_texts():
 
 # 1 WARC
 
+def test_sizes_of_records_under_one_id(spark):
+    rows = [(5, "u", "abc"), (5, "u", "xxxxxxx"), (3, "u", "abc"), (2, "u", "xxxxxxx"), (None, "u", "only"), (None, "u", "only")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").collect()
+    want = [(p, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for p, _, h in rows]
+    assert sorted(map(repr, ((r.key, r.payload_bytes, r.payload_digest) for r in got))) == sorted(map(repr, want))
+    assert sorted((r.key, r.refers_to) for r in got if r.record_type == "revisit" and r.key) == [(2, 5), (3, 5)]
+
+
 def test_archive_rejects_magic_in_payloads(spark):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "u1", "plain"), (2, "u2", inner * 3), (3, "u\r\n3", None), (4, None, ""), (5, "u5", "plain"),
@@ -211,6 +219,28 @@ def test_menus_of_rare_layouts_go(spark):
     assert all(got[2000 + i] == f"Few {i} goes here" for i in range(4))
 
 
+def test_text_of_the_article_stays(spark):
+    page = ("<body><article><h1>Head {0}</h1><p>{1}</p><ul><li><a href=1>Source one {2}</a><li><a href=2>Two</a></ul></article>"
+            "<section><article><a href=3>Next {0}</a></article></section><div id=discussion><p>Nice one {0}</p></div></body>")
+    common = "The same paragraph stands in this article"
+    for n in (1, 3, 9, 10, 40):
+        rows = [(i, f"http://h{n}.example/{i}", page.format(i, common if i % 2 == 0 else f"Other {i}", i % 2)) for i in range(n)]
+        for extra in (0, 200):
+            more = [(10_000 + i, f"http://other.example/{i}", f"<body><p>Plain {i}</p></body>") for i in range(extra)]
+            got = _texts(spark, rows + more)
+            for i in range(n):
+                own = common if i % 2 == 0 else f"Other {i}"
+                assert got[i] == f"Head {i}\n{own}\nSource one {i % 2}\nTwo"
+
+
+def test_support_is_a_weight(spark):
+    """The more pages a host has, the smaller the share on which a text outside the article is the template's."""
+    for n, share, gone in ((4, 1.0, False), (5, 1.0, True), (9, 1.0, True), (10, 0.6, False), (40, 0.6, True), (400, 0.6, True), (400, 0.4, False)):
+        rows = [(i, f"http://h.example/{i}", f"<body><div>{'Legal' if i < share * n else f'Law {i}'}</div><p>Story {i}</p></body>")
+                for i in range(n)]
+        assert (_texts(spark, rows)[0] == "Story 0") == gone
+
+
 def test_blocks_of_broken_markup():
     assert [b.text for b in markup.blocks("<p>a<p>b<div>c</p>d<!-- x --><script>no")] == ["a", "b", "c", "d"]
     assert markup.blocks("<nav><p>x</nav>y")[0].dropped and not markup.blocks("<nav><p>x</nav>y")[1].dropped

@@ -205,9 +205,10 @@ def round_trip(rows: DataFrame, key: str, uri: str, payload: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     write_archive(rows, path, key, uri, payload)
     records = written(read_archive(spark, path), "records")
-    stored = records.filter("record_type = 'response' and key is not null").groupBy("key").agg(
-        F.first("payload_bytes").alias("stored_bytes")).withColumnRenamed("key", "refers_to")
-    revisits = records.filter("record_type = 'revisit'").drop("payload_bytes").join(stored, "refers_to", "left")
+    # A payload's size goes by its digest: a key may stand on records of several payloads, or be missing.
+    stored = records.filter("record_type = 'response'").groupBy(F.col("payload_digest").alias("named_digest")).agg(
+        F.max("payload_bytes").alias("stored_bytes"))
+    revisits = records.filter("record_type = 'revisit'").drop("payload_bytes").join(stored, "named_digest", "left")
     return (records.filter("record_type = 'response'").select("key", "uri", "payload_bytes", "payload_digest", "record_type", "refers_to")
             .unionByName(revisits.select("key", "uri", F.col("stored_bytes").alias("payload_bytes"),
                                          F.col("named_digest").alias("payload_digest"), "record_type", "refers_to")))
