@@ -15,8 +15,8 @@ BOILERPLATE_TAGS = frozenset("nav aside form footer menu dialog button head fiel
 # Words of class, id and role that name what is not the article.
 BOILERPLATE_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager "
-    "pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip "
+    "discussion discussions disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager "
+    "pagination popup promo promotion recommended related replies reply respond responses share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar widget contentinfo complementary search alert".split())
 # Words that add nothing to such a name: "page-header" and "sidebar_left" are one, "has-sidebar" is not.
 HOLDER_WORDS = frozenset(
@@ -42,6 +42,8 @@ class Block:
     link_words: int
     main: bool
     dropped: bool
+    # Number of the outermost article that the block stands in, 0 outside.
+    article: int = 0
 
 
 @dataclass(slots=True, eq=False)
@@ -60,6 +62,7 @@ class _Open:
     main: bool
     dropped: bool
     named: tuple[_Named, ...] = ()
+    article: int = 0
 
 
 def _is_boilerplate(name: str, in_main: bool) -> bool:
@@ -81,7 +84,8 @@ def _opened(tag: str, attributes: str, parent: _Open) -> _Open:
     if tag not in ("html", "body", "article", "main") and any(_is_boilerplate(n, parent.main) for n in names):
         named = (*named, _Named())
     outer_header = tag == "header" and not parent.main
-    return _Open(tag, f"{parent.path}>{label}", main, parent.dropped or outer_header or tag in BOILERPLATE_TAGS, named)
+    return _Open(tag, f"{parent.path}>{label}", main, parent.dropped or outer_header or tag in BOILERPLATE_TAGS, named,
+                 parent.article)
 
 
 def _drop_named(found: list[tuple[Block, tuple[_Named, ...]]], articles: int, outside: int) -> None:
@@ -121,7 +125,7 @@ def blocks(page: str | None) -> list[Block]:
             if words:
                 top = stack[-1]
                 linked = len(html.unescape("".join(links)).split()) if links else 0
-                found.append((Block(top.path, " ".join(words), len(words), linked, top.main, top.dropped), top.named))
+                found.append((Block(top.path, " ".join(words), len(words), linked, top.main, top.dropped, top.article), top.named))
             parts.clear()
             links.clear()
 
@@ -161,6 +165,8 @@ def blocks(page: str | None) -> list[Block]:
             stack.append(_opened(tag, match.group(2) or "", stack[-1]))
             if tag in MAIN_TAGS and not stack[-1].dropped:
                 articles += 1
+                if tag == "article" and not stack[-1].article:
+                    stack[-1].article = articles
                 outside += not stack[-1].named
                 for n in stack[-1].named:
                     n.mains += tag == "main"
@@ -168,3 +174,12 @@ def blocks(page: str | None) -> list[Block]:
     flush()
     _drop_named(found, articles, outside)
     return [block for block, _ in found]
+
+
+def article_of(found: list[Block]) -> int:
+    """The article that the page is about: the one with most words that are no links, 0 without any."""
+    words: dict[int, int] = {}
+    for block in found:
+        if block.article and not block.dropped:
+            words[block.article] = words.get(block.article, 0) + block.words - block.link_words
+    return max(words, key=lambda n: (words[n], -n), default=0)

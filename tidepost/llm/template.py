@@ -3,15 +3,17 @@
 Tokens are the containers of a page and its blocks of text. Tokens of one host with the same occurrence
 vector (how often on which page) are one equivalence class. A vector is as long as a host has pages, so it
 is not gathered: it is folded into counts and a sum of page hashes times occurrences, which is equal where
-the vectors are, whatever the order of folding. Classes are valid with enough pages. Texts nest in their
+the vectors are, whatever the order of folding. Texts nest in their
 containers by path: a text on most of the pages that have its container, or on the very pages of a class of
 containers (a layout), is the template's own, so an empty page, an error page or a second layout changes
 nothing. What containers hold besides are their slots; slots of classes that hold mostly links are menus; the
 slots left are the pages' own text, from which those of named boilerplate (adverts, notices, comments,
-forms and the like) are taken out. If a page marks its article, only slots inside count.
+forms and the like) are taken out. If a page marks its article, only slots inside count, and of the article that
+it is about everything stays but such boilerplate.
 
-Slots on few pages of their host have no vectors to speak of; they are judged by the pages of all hosts. How
-large the host is otherwise does not count.
+Support is a weight: ``PRIOR_PAGES`` pages without the text are added to those seen, so that the share asked for falls
+with the pages that a container has, and a class's share of links is drawn towards that of the same slot on
+all hosts as if ``PRIOR_WORDS`` words of those had been read. How large host or table are does not count otherwise.
 
 Defined cases: null html is empty and gives empty text; null url or one without host is a host of its own;
 equal pages of a host count once, so a host of copies is one of few pages; a page that says only
@@ -27,13 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidepost.llm.markup import Block, blocks
-from tidepost.llm.store import written
+from tidepost.llm.markup import Block, article_of, blocks
+from tidepost.llm.store import ship, written
 from tidepost.llm.urlfilter import host_of
 
-MIN_PAGES = 10
-# So many pages of all hosts, or of a small table this share, judge the slots that a host has on fewer pages.
-MIN_SHARE = 0.1
+PRIOR_PAGES = 4
+PRIOR_WORDS = 50
 LINK_SHARE = 0.5
 # A text on this share of the pages that have its container is the template's.
 FRAME_SHARE = 0.5
@@ -76,7 +77,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     entry[0] += 1
                     entry[1] += b.words
                     entry[2] += b.link_words
-            mark = xxhash.xxh3_64_intdigest(page or "") & 0xFFFFFFF
+            mark = xxhash.xxh3_64_intdigest(page or "") & 0xFFFFFFFFFF
             for token, (n, words, links) in found.items():
                 entry = sums.setdefault((host, token or ">"), [0] * 5)
                 for i, x in enumerate((1, n, n * mark, words, links)):
@@ -95,30 +96,23 @@ def templates(pages: DataFrame) -> DataFrame:
                 .select("host", "html"))
     tokens = written(distinct.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "within", "is_text").agg(
         *[F.sum(c).alias(c) for c in ("pages", "occurrences", "vector", "words", "link_words")])
-        .filter(f"not is_text or pages >= {MIN_PAGES}"), "tokens")
-    roots = tokens.filter("token = '>'").select("host", F.col("pages").alias("n_pages"))
-    slots = tokens.filter("not is_text and token <> '>'")
-    # Equivalence classes: equal vectors of one host. Slots of a class are judged together.
-    classes = slots.filter(f"pages >= {MIN_PAGES}").groupBy("host", "pages", "occurrences", "vector").agg(
-        F.collect_set("within").alias("paths"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
-    own = (classes.filter(F.col("link_words") > LINK_SHARE * F.col("words"))
-           .select("host", F.explode("paths").alias("within")))
-    # Slots on few pages of their host are judged by the pages of all hosts.
-    all_pages = roots.agg(F.sum("n_pages")).scalar()
-    shared = (slots.groupBy("within").agg(
-        F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
-        .filter(F.col("pages") >= F.least(F.lit(MIN_PAGES), all_pages * MIN_SHARE))
-        .filter(F.col("link_words") > LINK_SHARE * F.col("words")))
-    pooled = slots.filter(f"pages < {MIN_PAGES}").join(shared.select("within"), "within").select("host", "within")
-    menus = own.unionByName(pooled).groupBy("host").agg(F.collect_set("within").alias("menus"))
+        .filter("not is_text or pages > 1"), "tokens")
+    slots = tokens.filter("not is_text and token <> '>'").withColumn("parent", F.xxhash64(F.regexp_replace("token", ">[^>]*$", "")))
+    # Equivalence classes: equal vectors of one host. Slots of a class that nest in one container are judged together.
+    vector = ["host", "pages", "occurrences", "vector"]
+    classes = slots.groupBy(*vector, "parent").agg(F.sum("words").alias("class_words"), F.sum("link_words").alias("class_links"))
+    pooled = slots.groupBy("within").agg((F.sum("link_words") / F.greatest(F.sum("words"), F.lit(1))).alias("usual"))
+    share = (F.col("class_links") + F.col("usual") * PRIOR_WORDS) / (F.col("class_words") + PRIOR_WORDS)
+    links = slots.join(classes, [*vector, "parent"]).join(pooled, "within").filter(share > LINK_SHARE).select("host", "within")
+    menus = links.groupBy("host").agg(F.collect_set("within").alias("menus"))
     # A text is nested in its container. It is the template's if it is on most pages that have the container, or on
     # the very pages of a class of containers, a layout.
-    containers = tokens.filter(f"not is_text and pages >= {MIN_PAGES}")
+    containers = tokens.filter("not is_text")
     texts = tokens.filter("is_text")
     on_most = (texts.join(containers.select("host", "within", F.col("pages").alias("held")), ["host", "within"])
-               .filter(F.col("pages") >= F.col("held") * FRAME_SHARE))
-    layouts = containers.filter("occurrences = pages").select("host", "pages", "occurrences", "vector").distinct()
-    of_layout = texts.join(layouts, ["host", "pages", "occurrences", "vector"], "left_semi")
+               .filter(F.col("pages") - 1 >= (F.col("held") - 1 + PRIOR_PAGES) * FRAME_SHARE))
+    layouts = containers.filter((F.col("occurrences") == F.col("pages")) & (F.col("pages") > PRIOR_PAGES)).select(*vector).distinct()
+    of_layout = texts.join(layouts, vector, "left_semi")
     fixed = (on_most.select("host", "token").unionByName(of_layout.select("host", "token"))
              .groupBy("host").agg(F.collect_set("token").alias("fixed")))
     return menus.join(fixed, "host", "full")
@@ -126,14 +120,17 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_blocks(page: str | None, menus: set[str], fixed: set[str]) -> list[Block]:
     """The blocks of a page that are its article."""
-    left = [b for b in blocks(page) if not b.dropped and path_mark(b.path) not in menus]
+    found = blocks(page)
+    about = article_of(found)
+    left = [b for b in found if not b.dropped and (b.article and b.article == about or path_mark(b.path) not in menus)]
     left = [b for b in left if b.main] or left
     # Pages of one text differ elsewhere: what is all that a page says is its text, whoever repeats it.
-    return [b for b in left if text_mark(b.path, b.text) not in fixed] or left
+    return [b for b in left if b.article and b.article == about or text_mark(b.path, b.text) not in fixed] or left
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
+    ship(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"),
                         F.coalesce(host_of(F.col(url).cast("string")), F.lit("")).alias("host"))
     deduced = written(templates(rows.select("host", "html")), "templates")
