@@ -89,8 +89,9 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     source = keyed.select(F.col(id_at).cast("long").alias("doc_id"), "text_key", F.col(text_at).cast("string").alias("text"))
     holders = written(source.mapInArrow(suspected, "doc_id long, text_key long, mark binary"), "suspects")
-    repeated = (holders.select("mark", "doc_id").distinct().groupBy("mark")
-                .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs))
+    # As a table it is joined by its real size; a line of very many documents is then no more than a skewed join.
+    repeated = written(holders.select("mark", "doc_id").distinct().groupBy("mark")
+                       .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "repeated-lines")
     drops = written(holders.join(repeated.select("mark", "keeper"), "mark").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
                     .groupBy("doc_id", "text_key").agg(F.collect_set("mark").alias("marks"))
                     .withColumnRenamed("text_key", "drop_key"), "dropped-lines")
