@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepost.operators import frames, keyed, metrics, ranking, rating, scaling, similarity, terms
+from tidepost.operators import frames, keyed, metrics, phrases, ranking, rating, scaling, similarity, terms
 
 
 def test_upsert_wipes_missing_columns_and_is_idempotent(spark):
@@ -267,15 +267,18 @@ def test_repeated_replies_do_not_multiply_postings(spark):
     assert rating.attach_ratings(postings, replies.drop("at"), "k").count() == 2
 
 
-def test_lemmas_held_or_joined_are_the_same(spark):
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_lemmas_by_any_join_are_the_same(spark, limit):
     rows = [(str(i), (["les", "x"] * 3 + ["los"]) if i % 3 else []) for i in range(40)] + [("n", None)]
     df = spark.createDataFrame(rows, "k string, w array<string>")
     lemmas = spark.createDataFrame([("les", "le"), ("los", "el"), ("unused", "u")], "surface string, lemma string")
-    held = terms.lemmatize(df, "k", "w", lemmas)
-    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
-    want = {k: [{"les": "le", "los": "el"}.get(x, x) for x in w or []] for k, w in rows}
-    assert {r.k: r.w or [] for r in held.collect()} == want
-    assert {r.k: r.w or [] for r in terms.lemmatize(df, "k", "w", lemmas, held=1).collect()} == want
+    want = {k: w and [{"les": "le", "los": "el"}.get(x, x) for x in w] for k, w in rows}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        assert {r.k: r.w for r in terms.lemmatize(df, "k", "w", lemmas).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_lemmas_of_nulls_and_repeated_keys(spark):
@@ -283,6 +286,27 @@ def test_lemmas_of_nulls_and_repeated_keys(spark):
     df = spark.createDataFrame(rows, "k string, w array<string>")
     lemmas = spark.createDataFrame([("les", "le"), ("los", "el"), (None, "none"), ("x", None)], "surface string, lemma string")
     want = [(k, w and [{"les": "le", "los": "el"}.get(x, x) for x in w]) for k, w in rows]
-    for held in (terms.HELD_LEMMAS, 1):
-        got = terms.lemmatize(df, "k", "w", lemmas, held=held).collect()
-        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    got = terms.lemmatize(df, "k", "w", lemmas).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_a_large_phrase_table_equals_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    table = [(f"b{i % 3}", " ".join(rng.choices(words, k=rng.choice([1, 2, 2, 3, 4])))) for i in range(100_000)]
+    table += [("b0", "W1  w1"), ("b0", "w1"), ("b1", ""), ("b1", "  "), ("b2", None), ("b9", "w5")]
+    texts = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 30, 200])))) for i in range(60)] + [(100, None), (101, "w1 W1 W5")]
+    got = phrases.keyword_hits(spark.createDataFrame(texts, "k int, t string").repartition(3), "k", "t",
+                               spark.createDataFrame(table, "bin string, phrase string").repartition(4), ["b0", "b1", "b2"])
+    sets = [(b, frozenset(p.lower().split())) for b, p in table if p and p.split()]
+    for r in got.collect():
+        own = set((dict(texts)[r.k] or "").lower().split())
+        want = Counter(b for b, p in sets if p <= own)
+        assert (r.keyword_b0, r.keyword_b1, r.keyword_b2) == (want["b0"], want["b1"], want["b2"])
+    assert got.count() == len(texts)
+
+
+def test_a_phrase_table_without_phrases(spark):
+    texts = spark.createDataFrame([(1, "a b")], "k int, t string")
+    none = spark.createDataFrame([], "bin string, phrase string")
+    assert phrases.keyword_hits(texts, "k", "t", none, ["x"]).collect()[0].keyword_x == 0

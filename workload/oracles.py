@@ -330,6 +330,8 @@ ORACLES = {
         coalesce(companies, '') AS companies, 'n/a' AS level FROM merged""",
     "keyword_bins": f"""WITH {POSTINGS}, {features('postings', 'job_id')}
         SELECT job_id, {BIN_COLUMNS} FROM features""",
+    "keyword_table": f"""WITH {POSTINGS}, {features('postings', 'job_id')}
+        SELECT job_id, {BIN_COLUMNS} FROM features""",
     "weighted_keywords": f"""WITH {POSTINGS}, {features('postings', 'job_id')}
         SELECT job_id, round(total_weighted_keywords, 6) AS total_weighted_keywords,
                round(weighted_keywords, 6) AS weighted_keywords FROM features""",

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidepost.functions import html as H
 from tidepost.functions import text as X
 from tidepost.functions.dom import Select
-from tidepost.operators import (embedding, frames, keyed, keywords, metrics, ranking, rating,
+from tidepost.operators import (embedding, frames, keyed, keywords, metrics, phrases, ranking, rating,
                                 scaling, similarity, terms)
 from tidepost.plans import prediction, semantic, training
 from tidepost.session import cut_lineage, scratch_path
@@ -176,6 +176,12 @@ def keyword_bins(spark, sf_dir):
     return hits.select("job_id", *[F.col(f"keyword_{b}").cast("long").alias(f"keyword_{b}") for b in V.BINS])
 
 
+def keyword_table(spark, sf_dir):
+    """The bins' phrases as a table, found by the index on their rarest words."""
+    listed = spark.createDataFrame([(b, p) for b, phrases_ in V.BINS.items() for p in phrases_], "bin string, phrase string")
+    return phrases.keyword_hits(V.postings(spark, sf_dir), "job_id", "desc", listed, list(V.BINS))
+
+
 def weighted_keywords(spark, sf_dir):
     features = keywords.keyword_features(V.postings(spark, sf_dir), "desc", V.BINS)
     return features.select("job_id", F.round("total_weighted_keywords", 6).alias("total_weighted_keywords"),
@@ -519,7 +525,7 @@ QUERIES = {f.__name__: f for f in (
     upsert_replace, score_update, new_ids_anti, refetch_anti, unscored_scan, evolve_schema,
     multi_query_dedupe, crawl_budget, search_filter,
     clean_text, clean_text_literal, lemma_lookup, word_count, company_in_desc, fill_defaults,
-    keyword_bins, weighted_keywords, minmax_scaled, dedupe_subset, union_synthetic, union_sources,
+    keyword_bins, keyword_table, weighted_keywords, minmax_scaled, dedupe_subset, union_synthetic, union_sources,
     labelled_filter, class_distribution, csv_roundtrip, training_frame,
     ngram_counts, vocabulary, idf_table, tfidf_weights, apply_tfidf, hash_embed,
     stratified_split, stratified_folds, confusion_matrix, classification_metrics, cv_metric_table,
