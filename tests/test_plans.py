@@ -224,6 +224,25 @@ def test_page_layouts(spark):
     assert parse("search_card")["3"].desc == "N/A"
 
 
+def test_pages_of_all_layouts_in_one_table(spark):
+    api = GUEST.replace("top-card-layout__card big", "other").replace('class="t" ', "")
+    card = "<c-wiz data-encoded-docid='7'><h1 class='LZAQDf'>Engineer</h1><div class='vNEEBe'>Acme</div><span class='HBvzbc'>Do it</span></c-wiz>"
+    guest_list = "<ul><li><div class='base-card' data-entity-urn='urn:li:jobPosting:7'></div></li></ul>"
+    signed_list = ("<li class='jobs-search-results-list__item job-card-container' data-job-id='5'>"
+                   "<a class='job-card-list__title--link' href='/jobs/view/9/'>t</a></li>")
+    rows = [("guest_detail", GUEST), ("signed_in_detail", SIGNED_IN), ("search_card", card), ("guest_list", guest_list),
+            ("signed_in_list", signed_list)] * 3 + [(None, "<p>nothing known</p>"), (None, None), (None, "")]
+    numbered = [(str(i), name, html) for i, (name, html) in enumerate(rows)]
+    df = spark.createDataFrame(numbered, "id string, name string, html string").repartition(3)
+    got = {r.job_id: r.asDict() for r in pages.postings_from_mixed_pages(df, pages.LAYOUTS, F.col("id")).collect()}
+    assert {i: r["layout"] for i, r in got.items()} == {i: name for i, name, _ in numbered}
+    for name in {n for n, _ in rows if n}:
+        for r in pages.postings_from_pages(df.filter(F.col("name") == name), pages.LAYOUTS[name], F.col("id")).collect():
+            own = r.asDict()
+            assert {c: got[r.job_id][c] for c in own} == own
+    assert all(v is None for i, r in got.items() if r["layout"] is None for c, v in r.items() if c != "job_id")
+
+
 NESTED = """<img src="x" alt="Advert"><div class="top-card-layout__card"><a href="#">no logo</a></div>
 <div class="show-more-less-html__markup"><div>One</div><p>two&#8217;s caf&eacute;<div>three</div></div><div>after</div>"""
 

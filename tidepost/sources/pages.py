@@ -122,6 +122,76 @@ def postings_from_pages(pages: DataFrame, layout: Layout, job_id: Column, html:
     return rows.withColumn("posted_at", posted_at_typed(F.col("posted_at_raw"))) if "posted_at_raw" in names else rows
 
 
+Mark = tuple[str, str]
+
+
+def _select_marks(select: Select) -> set[Mark]:
+    """What a selector needs to find on a page: class words, an id, an attribute, else its tag."""
+    marks = {("class", word) for word in (select.css or "").split()}
+    if select.dom_id is not None:
+        marks.add(("id", select.dom_id))
+    if select.holding is not None:
+        marks.add(("attribute", select.holding[0]))
+    if not marks and select.tag is not None and select.within is None:
+        marks.add(("tag", select.tag))
+    return marks | (_select_marks(select.within) if select.within is not None else set())
+
+
+def layout_marks(layouts: Mapping[str, Layout]) -> dict[str, dict[Mark, float]]:
+    """Per layout its marks and their weights, which add up to 1: a mark of several layouts says less about each."""
+    own = {name: set().union(*[_select_marks(s) for selects in [*layout.fields.values(), layout.posted, layout.cards, layout.card_id]
+                               for s in selects]) for name, layout in layouts.items()}
+    out = {}
+    for name, marks in own.items():
+        weights = {m: 1 / sum(m in other for other in own.values()) for m in marks}
+        whole = sum(weights.values())
+        out[name] = {m: w / whole for m, w in weights.items()} if whole else {}
+    return out
+
+
+def layout_of(root: Node, marks: Mapping[str, Mapping[Mark, float]]) -> str | None:
+    """The layout most of whose marks stand in the page's tree, the first of equals; None where no layout has any."""
+    seen: set[Mark] = set()
+    for node in root.descendants():
+        seen.add(("tag", node.tag))
+        for name, value in node.attributes.items():
+            seen.add(("attribute", name))
+            if name == "class":
+                seen.update(("class", word) for word in value.split())
+            elif name == "id":
+                seen.add(("id", value))
+    shares = {name: sum(w for m, w in own.items() if m in seen) for name, own in marks.items()}
+    best = max(shares, key=lambda name: shares[name], default=None)
+    return best if best is not None and shares[best] > 0 else None
+
+
+def postings_from_mixed_pages(pages: DataFrame, layouts: Mapping[str, Layout], job_id: Column, html: str = "html") -> DataFrame:
+    """Typed posting rows from pages of several layouts in one table, each read by its own.
+
+    ``layout`` names it; a page of no known layout has NULL there, in ``source`` and in all fields, as have the fields
+    that its layout does not know.
+    """
+    ship_package(pages.sparkSession)
+    names = list(dict.fromkeys(n for layout in layouts.values() for n in layout.names))
+    marks = layout_marks(layouts)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page in batch.column("html").to_pylist():
+                root = parse(page)
+                name = layout_of(root, marks)
+                found = layouts[name].read(root) if name is not None else {}
+                rows.append([name, layouts[name].source if name is not None else None, *[found.get(n) for n in names]])
+            columns = zip(*rows, strict=True) if rows else [[] for _ in range(2 + len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column("job_id"), *[pa.array(c, pa.string()) for c in columns]],
+                                             ["job_id", "layout", "source", *names])
+
+    rows = pages.select(job_id.cast("string").alias("job_id"), F.col(html).alias("html")).filter("job_id is not null")
+    rows = rows.mapInArrow(read, ", ".join(f"`{n}` string" for n in ["job_id", "layout", "source", *names]))
+    return rows.withColumn("posted_at", posted_at_typed(F.col("posted_at_raw"))) if "posted_at_raw" in names else rows
+
+
 def cards_from_pages(pages: DataFrame, layout: Layout, key: str, html: str = "html") -> DataFrame:
     """(key, card, urn, data_id, link, fields): one row per card of a page, numbered from 0 in page order.
 

@@ -419,6 +419,16 @@ ORACLES = {
         'First ' || body || ' Last é' AS "desc",
         {visible("split_part(split_part(html, '<div class=" + '"ad"' + ">', 2), '</div>', 1)")} AS ad,
         '2024-01-0' || (page_id % 9 + 1) AS posted_at_raw FROM parts""",
+    "page_layouts": f"""WITH parts AS (SELECT *, {visible("split_part(split_part(html, '<article>', 2), '</article>', 1)")} AS body
+        FROM pages)
+        SELECT CAST(page_id AS VARCHAR) AS job_id, 'article' AS layout, 'Pages' AS source,
+        {visible("split_part(split_part(html, '<h1>', 2), '</h1>', 1)")} AS titles,
+        split_part(split_part(html, 'href="', 2), '"', 1) AS companies,
+        split_part(split_part(html, 'lang="', 2), '"', 1) AS location,
+        {visible("split_part(split_part(html, '<li>', 2), '</li>', 1)")} AS level,
+        'First ' || body || ' Last é' AS "desc",
+        {visible("split_part(split_part(html, '<div class=" + '"ad"' + ">', 2), '</div>', 1)")} AS ad,
+        '2024-01-0' || (page_id % 9 + 1) AS posted_at_raw FROM parts""",
     "page_cards": f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS card, {visible("split_part(x, '>', 2)")} AS titles,
         split_part(split_part(x, '"', 1), '/', 2) AS job_id FROM (SELECT page_id, unnest(items) AS x,
         generate_subscripts(items, 1) AS i FROM (SELECT page_id, list_transform(string_split(split_part(split_part(

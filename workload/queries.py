@@ -353,6 +353,13 @@ def page_fields(spark, sf_dir):
     return rows.select("job_id", "source", "titles", "companies", "location", "level", "desc", "ad", "posted_at_raw")
 
 
+def page_layouts(spark, sf_dir):
+    """Pages read by the layout that their own tree shows, out of all that are known."""
+    rows = pages.postings_from_mixed_pages(V.nested_pages(spark, sf_dir), {**pages.LAYOUTS, "article": PAGE_LAYOUT},
+                                           F.col("page_id").cast("string"))
+    return rows.select("job_id", "layout", "source", "titles", "companies", "location", "level", "desc", "ad", "posted_at_raw")
+
+
 def page_cards(spark, sf_dir):
     """One row per entry of each page's menu, with the id its link names."""
     cards = pages.cards_from_pages(V.table(spark, sf_dir, "pages"), pages.Layout(
@@ -530,7 +537,7 @@ QUERIES = {f.__name__: f for f in (
     ngram_counts, vocabulary, idf_table, tfidf_weights, apply_tfidf, hash_embed,
     stratified_split, stratified_folds, confusion_matrix, classification_metrics, cv_metric_table,
     prediction_counts,
-    page_fields, page_cards, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
+    page_fields, page_layouts, page_cards, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
     prompt_build, rating_parse, token_cost,
     stream_dedupe, stream_upsert, stream_score,
     feature_vectors, feature_variance, pca_explained, train_eval, fold_sizes, confusion_held_out, predict_new)}
