@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepost.session import scratch_path, ship_package as ship
+from tidepost.session import scratch_path, ship_package
+
+# Rows of an Arrow batch, unless the session says otherwise. Rows are whole texts, of which Spark's 10,000 take up
+# hundreds of MB beside the heap, on either side of the pipe.
+BATCH_ROWS = 1024
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on the executors, and Arrow batches as small as whole texts ask for."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
