@@ -62,7 +62,7 @@ def _twice_seen(docs: DataFrame, text: str, bits: int) -> bytes:
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
                bits: int = FILTER_BITS) -> DataFrame:
-    """All columns of ``docs`` under positional names c0, c1, ..., and n_lines, n_dropped, kept_text."""
+    """The columns of ``docs`` but the text under positional names c0, c1, ..., and n_lines, n_dropped, kept_text."""
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     columns = flat.columns
@@ -98,6 +98,8 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     joined = keyed.join(drops, F.col(id_at).cast("long").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("drop_key")),
                         "left").select(*columns, "marks")
 
+    others = [c for c in columns if c != text_at]
+
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, dropped, texts = [], [], []
@@ -109,10 +111,10 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                 dropped.append(len(lines) - len(kept))
                 texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()),
-                 pa.array(texts, pa.string())], [*columns, "n_lines", "n_dropped", "kept_text"])
+                [*[batch.column(c) for c in others], pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()),
+                 pa.array(texts, pa.string())], [*others, "n_lines", "n_dropped", "kept_text"])
 
-    schema = StructType(flat.schema.fields).add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
+    schema = StructType([f for f in flat.schema.fields if f.name != text_at]).add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
     return joined.mapInArrow(rebuilt, schema)
 
 

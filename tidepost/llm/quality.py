@@ -86,8 +86,10 @@ def measure_batch(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measures(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and the measures of each row's text."""
-    source = docs.select(*[c.alias(name) for name, c in keep.items()], F.col(text).cast("string").alias("__text"))
+    """The columns of ``keep`` and the measures of each row's text; a text that is kept travels once."""
+    read = text if text in keep and dict(docs.dtypes)[text] == "string" else "__text"
+    columns = [c.alias(name) for name, c in keep.items()]
+    source = docs.select(*columns, *([] if read == text else [F.col(text).cast("string").alias(read)]))
     schema = source.drop("__text").schema
     for name in MEASURES:
         schema = schema.add(name, "long")
@@ -95,7 +97,7 @@ def measures(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> Da
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(name, batch.column(name)) for name in batch.schema.names if name != "__text"]
-            counts = measure_batch(batch.column("__text"))
+            counts = measure_batch(batch.column(read))
             yield pa.RecordBatch.from_arrays([a for _, a in kept] + [pa.array(counts[m]) for m in MEASURES],
                                              [name for name, _ in kept] + list(MEASURES))
 
