@@ -189,6 +189,38 @@ def test_tfidf_against_plain_python(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("n", [1, 3, 7, 40, 1000])
+def test_frequent_terms_against_brute_force(spark, n):
+    rng = random.Random(n)
+    rows = [(d, f"t{min(int(rng.expovariate(0.05)), 300)}") for d in range(300) for _ in range(20)]
+    tf = Counter(rows)
+    counts = terms.written_counts(spark.createDataFrame([(d, t, c) for (d, t), c in tf.items()], "k long, term string, tf long"))
+    df, cf = Counter(t for _, t in tf), Counter(t for _, t in rows)
+    able = sorted((t for t in df if df[t] <= 200), key=lambda t: (-cf[t], t))
+    least = cf[able[n - 1]] if len(able) >= n else 1
+    want = {(t, df[t], cf[t]) for t in able if cf[t] >= least}
+    allowed = F.col("df") <= 200
+    assert {tuple(r) for r in terms.frequent_terms(counts, allowed, n).collect()} == want
+    # Terms that share ids (here nearly all do) are still told apart.
+    shared = terms.frequent_terms(counts, allowed, n, ids=lambda: F.pmod(F.xxhash64("term"), F.lit(5)))
+    assert {tuple(r) for r in shared.collect()} == want
+    empty = terms.frequent_terms(counts.limit(0), allowed, n)
+    assert empty.count() == 0
+
+
+def test_once_seen_terms_and_strings_stay_where_they_are(spark):
+    common = spark.range(2000).select("id", F.concat(F.lit("c"), F.col("id") % 20).alias("term"), F.lit(1).cast("long").alias("tf"))
+    once = spark.range(20000).select("id", F.concat(F.lit("once"), "id").alias("term"), F.lit(1).cast("long").alias("tf"))
+    counts = terms.written_counts(common.unionByName(once))
+    found = terms.frequent_terms(counts, F.lit(True), 20)
+    assert {r.term for r in found.collect()} == {f"c{i}" for i in range(20)}
+    idf = terms.with_idf(found, common).withColumn("number", F.monotonically_increasing_id())
+    weights = terms.tfidf(counts, idf, "id", "", counts=counts)
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "term" not in window.splitlines()[0] and weights.count() == 2000
+
+
 def test_term_counts_do_not_shuffle_exploded_terms(spark):
     df = spark.createDataFrame([("1", "red green")], "id string, desc string")
     plan = terms.term_counts(df, "id", "desc")._jdf.queryExecution().executedPlan().toString()
