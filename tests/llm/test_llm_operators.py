@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
-from tidepost.llm import (bloom, components, fingerprint, license, linededup, markup, mixing, packing, quality, setsketch,
+from tidepost.llm import (bloom, components, fingerprint, license, linededup, markup, mixing, packing, quality, setsketch, store,
                           template, urlfilter, warc, words)
 
 _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -571,3 +571,9 @@ def test_null_and_equal_ids_are_ordered(spark):
                                  "doc_id long, text string").select("*", F.lit(1).alias("range"), F.lit(2).alias("follower"))
     got = fingerprint.fingerprints(docs).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 1), (2, 1), (2, 1)]
+
+
+def test_trimmed_steps_give_what_they_gave():
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    assert list(store.trimmed(lambda own: (b for b in own if b["x"][0].as_py() != 1))(iter(batches))) == [batches[0], batches[2]]
+    assert list(store.trimmed(iter)(iter([]))) == []

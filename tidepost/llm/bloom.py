@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidepost.llm.store import trimmed
+
 BLOCK_BITS = 1 << 16
 PROBES = 2
 
@@ -105,8 +107,8 @@ def merged_filter(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], It
 
     schema = "block int, once binary, twice binary"
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = (rows.mapInArrow(filled, schema).repartition(tasks, "block").sortWithinPartitions("block")
-              .mapInArrow(_merged, schema).select("block", kind))
+    merged = (rows.mapInArrow(trimmed(filled), schema).repartition(tasks, "block").sortWithinPartitions("block")
+              .mapInArrow(trimmed(_merged), schema).select("block", kind))
     width = min(BLOCK_BITS, bits) // 8
     table = np.zeros((bits // 8 // width, width), np.uint8)
     for row in merged.toLocalIterator():

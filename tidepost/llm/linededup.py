@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from tidepost.llm.bloom import Filters, merged_filter
-from tidepost.llm.store import written
+from tidepost.llm.store import trimmed, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -88,7 +88,7 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                  pa.array([marks[i] for i in hit], pa.binary())], ["doc_id", "text_key", "mark"])
 
     source = keyed.select(F.col(id_at).cast("long").alias("doc_id"), "text_key", F.col(text_at).cast("string").alias("text"))
-    holders = written(source.mapInArrow(suspected, "doc_id long, text_key long, mark binary"), "suspects")
+    holders = written(source.mapInArrow(trimmed(suspected), "doc_id long, text_key long, mark binary"), "suspects")
     # As a table it is joined by its real size; a line of very many documents is then no more than a skewed join.
     repeated = written(holders.select("mark", "doc_id").distinct().groupBy("mark")
                        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "repeated-lines")
@@ -115,7 +115,7 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
                  pa.array(texts, pa.string())], [*others, "n_lines", "n_dropped", "kept_text"])
 
     schema = StructType([f for f in flat.schema.fields if f.name != text_at]).add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
-    return joined.mapInArrow(rebuilt, schema)
+    return joined.mapInArrow(trimmed(rebuilt), schema)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepost.llm.store import written
+from tidepost.llm.store import trimmed, written
 
 WINDOW = 4096
 CLOSING_ID = 2
@@ -153,7 +153,7 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, encoder: Callable[[], Any
                 [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(windows, longs), pa.array(tails, pa.int64()),
                  pa.array(parts, longs)], ["doc_id", "doc_tokens", "window_sums", "tail_sum", "part_sums"])
 
-    return rows.mapInArrow(encoded, "doc_id long, doc_tokens long, window_sums array<long>, tail_sum long, "
+    return rows.mapInArrow(trimmed(encoded), "doc_id long, doc_tokens long, window_sums array<long>, tail_sum long, "
                                     "part_sums array<long>")
 
 
@@ -375,4 +375,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, SCHEMA)
+    return ranked.mapInArrow(trimmed(placed), SCHEMA)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepost.llm.store import written
+from tidepost.llm.store import trimmed, written
 from tidepost.llm.words import Group, Words, groups, words
 
 # Characters that count as symbols.
@@ -101,7 +101,7 @@ def measures(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([a for _, a in kept] + [pa.array(counts[m]) for m in MEASURES],
                                              [name for name, _ in kept] + list(MEASURES))
 
-    return source.mapInArrow(measured, schema)
+    return source.mapInArrow(trimmed(measured), schema)
 
 
 def rules() -> dict[str, Column]:

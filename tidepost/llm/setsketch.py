@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepost.llm.bloom import Filters, key_filter
 from tidepost.llm.components import components
-from tidepost.llm.store import written
+from tidepost.llm.store import trimmed, written
 from tidepost.llm.words import groups, mix, seeds, words
 
 ROWS = 5
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
                  pa.array(digests, pa.binary()), pa.array(registers, pa.binary())],
                 ["doc_id", "text_key", "n_shingles", "node", "registers"])
 
-    return rows.mapInArrow(sketched, "doc_id long, text_key long, n_shingles long, node binary, registers binary")
+    return rows.mapInArrow(trimmed(sketched), "doc_id long, text_key long, n_shingles long, node binary, registers binary")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                                 batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             yield batch.filter(pa.array(estimate >= floor)).select(["a", "b"])
 
-    return both.mapInArrow(likely, "a binary, b binary")
+    return both.mapInArrow(trimmed(likely), "a binary, b binary")
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -167,7 +167,7 @@ def _texts(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(table.suspects(batch.column("text_key").to_numpy().view(np.uint64))))
 
-    found = rows.mapInArrow(sieved, rows.schema).hint("merge")
+    found = rows.mapInArrow(trimmed(sieved), rows.schema).hint("merge")
     return written(found.join(wanted.hint("merge"), (F.col("text_key") == F.col("wanted_key"))
                               & F.col("doc_id").eqNullSafe(F.col("wanted_id")))
                    .select("node", "text").dropDuplicates(["node"]), "node-texts")
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 good.append(100 * shared >= percent * (len(mine) + len(other) - shared))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return both.mapInArrow(exact, "a binary, b binary")
+    return both.mapInArrow(trimmed(exact), "a binary, b binary")
 
 
 def _shared_elements(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _shared_elements(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     [batch.column("node").take(at), batch.column("root").take(at), pa.array(elements.view(np.int64))],
                     ["node", "root", "element"])
 
-    elements = source.mapInArrow(exploded, "node binary, root long, element long")
+    elements = source.mapInArrow(trimmed(exploded), "node binary, root long, element long")
     mixed = written(elements.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
                     .select("element"), "mixed-elements")
     return elements.join(mixed, "element").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
@@ -234,7 +234,7 @@ def _signatures(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 ["node", *names])
 
     return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(
-        signed, "node binary, " + ", ".join(f"{n} long" for n in names))
+        trimmed(signed), "node binary, " + ", ".join(f"{n} long" for n in names))
 
 
 def _unshared(one: str, other: str) -> Column:
