@@ -295,6 +295,28 @@ def test_stream_drops_repeats_and_late_rows(spark, tmp_path):
     assert go() == [1, 2, 3]  # 2 repeats within the overlap, 4 is older than the watermark
 
 
+def test_a_hot_key_meets_the_state_once_per_task(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(30_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).cast("int").alias("id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"))
+    rows.write.parquet(path)
+    query = ingest.write_stream(ingest.drop_repeats(ingest.posting_stream(spark, path, rows.schema), "id", "ts"), out, str(tmp_path / "ck"))
+    query.awaitTermination()
+    got = [r.id for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) == 20_001
+    dropped = sum(o.customMetrics["numDroppedDuplicateRows"] for p in query.recentProgress for o in p.stateOperators)
+    assert dropped <= 8  # without the fold 9,999
+
+
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_fold_keeps_the_latest_row_and_undated_ones(spark, held):
+    rows = [("a", 1, 1), ("a", 3, 2), ("a", 3, 3), (None, 2, 4), (None, 1, 5), ("b", None, 6), ("b", None, 7), ("b", 1, 8)]
+    df = spark.createDataFrame(rows, "k string, t long, n int").withColumn("t", F.timestamp_seconds("t")).coalesce(1)
+    assert [r.n for r in ingest.fold_repeats(df, "k", "t", held).collect()] == [2, 4, 6, 7, 8]
+    assert ingest.fold_repeats(df.limit(0), "k", "t", held).count() == 0
+
+
 def test_stream_upsert_equals_batch(spark, tmp_path):
     path = str(tmp_path / "in")
     schema = events(spark, path, (1, "2024-01-01", 1), (1, "2024-01-02", 2), (2, "2024-01-01", 1))

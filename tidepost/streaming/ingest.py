@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from tidepost.operators.similarity import score_profiles
 from tidepost.sources.keyed_table import KeyedTable
 
 OVERLAP = "48 hours"
+# Rows that a task holds while it folds the repeats of its part of a batch.
+HELD_ROWS = 100_000
 
 
 def posting_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -24,10 +28,41 @@ def posting_stream(spark: SparkSession, path: str, schema: T.StructType,
     return reader.parquet(path)
 
 
+def fold_repeats(rows: DataFrame, key: str, event_time: str, held_rows: int = HELD_ROWS) -> DataFrame:
+    """In each task the latest row of a key, before anything is shuffled; of equal times the first.
+
+    The latest stays, so that a late row never stands for one that is on time. Rows without a time all stay. A task
+    that holds ``held_rows`` different keys passes them on and starts anew: a hot key then leaves it a few times more.
+    """
+
+    def latest(table: pa.Table) -> pa.Table:
+        codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        times = table.column(event_time).combine_chunks()
+        undated = times.is_null().to_numpy(zero_copy_only=False)
+        order = np.lexsort((-times.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), undated, codes))
+        ahead = np.concatenate([[True], codes[order][1:] != codes[order][:-1]])
+        return table.take(pa.array(np.sort(order[ahead | undated[order]])))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows:
+                held = [latest(pa.concat_tables([*held, pa.Table.from_batches([batch])]))]
+            if held and held[0].num_rows >= held_rows:
+                yield from held.pop().to_batches()
+        if held:
+            yield from held.pop().to_batches()
+
+    return rows.mapInArrow(folded, rows.schema)
+
+
 def drop_repeats(stream: DataFrame, key: str, event_time: str, overlap: str = OVERLAP) -> DataFrame:
-    """First sight of a key within the overlap; rows later than the watermark are dropped."""
+    """One row of a key within the overlap; rows later than the watermark are dropped.
+
+    A batch's own repeats are folded in the tasks first, so that a hot key meets the state once per task.
+    """
     timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, overlap).dropDuplicatesWithinWatermark([key])
+    return fold_repeats(timed, key, event_time).withWatermark(event_time, overlap).dropDuplicatesWithinWatermark([key])
 
 
 def score_stream(stream: DataFrame, anchors: Mapping[str, Sequence[float]],
