@@ -270,12 +270,14 @@ def test_python_workers_do_not_need_the_package(tmp_path):
     script = f"""
 import sys
 sys.path.insert(0, {root!r})
-from tidepost.operators import embedding, similarity
+from tidepost.operators import embedding, many_profiles, similarity
 from tidepost.session import build_session
 spark = build_session("away", "local[2]", **{{"spark.ui.enabled": "false"}})
 df = spark.createDataFrame([("red green",)], "desc string")
 vectors = embedding.embed_documents(df, embedding.hashed_words(4))
 print(similarity.score_profiles(vectors, {{"p": [1.0, 1.0, 1.0, 1.0]}}).first().score_p)
+windows = embedding.embed_documents(df, embedding.hashed_windows(4, context=2, overlap=0)).withColumn("job_id", vectors.desc)
+print(many_profiles.best_matches(windows, windows.withColumnRenamed("job_id", "profile")).collect())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True)

@@ -117,3 +117,75 @@ def test_model_embedder_gets_templates_and_loads_once_per_task(spark):
     assert query[0] > 80
     anchors = embedding.embed_anchors(df, {"p": "text"}, "crit", embedding.with_model(load)).first()
     assert anchors.embedding[0] == len("text\n\nKey Requirements:\ncrit<|endoftext|>")
+
+
+def word_model(calls=None):
+    """Each text's word count, its first word's number and a constant."""
+
+    def model(texts):
+        import numpy as np
+        if calls is not None:
+            open(calls, "a").write(f"{[len(t.split()) for t in texts]}\n")
+        return np.array([[len(t.split()), float((t.split() or ["0"])[0]), 1.0] for t in texts])
+
+    return lambda: model
+
+
+def test_windows_cover_all_tokens_and_share_the_overlap():
+    from tidepost.functions.vectors import token_windows
+
+    for n in range(0, 60):
+        for room, overlap in [(1, 0), (5, 0), (5, 2), (7, 6), (60, 3)]:
+            spans = [(3 * i, 3 * i + 2) for i in range(n)]
+            got = token_windows(spans, room, overlap)
+            want, at = [], 0
+            while True:
+                part = spans[at:at + room]
+                want.append((part[0][0], part[-1][1], len(part)) if part else (0, 0, 0))
+                if at + room >= n:
+                    break
+                at += room - overlap
+            assert got == want, (n, room, overlap)
+
+
+@pytest.mark.parametrize("budget,partitions", [(1, 1), (25, 3), (10_000, 2)])
+def test_long_texts_are_read_whole_whatever_the_batches(spark, budget, partitions):
+    from tidepost.functions.vectors import white_space_spans, windowed_embedding
+
+    lengths = [0, 1, 9, 10, 11, 18, 19, 500, 3]
+    rows = [(i, " ".join(str(j) for j in range(n))) for i, n in enumerate(lengths)] + [(99, None)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(partitions)
+    vector = windowed_embedding(F.col("t"), word_model(), lambda: white_space_spans, context=10, overlap=2, budget=budget)
+    got = {r.i: r.v for r in df.select("i", vector.alias("v")).collect()}
+    for i, n in [*enumerate(lengths), (99, 0)]:
+        starts = [0]
+        while starts[-1] + 10 < n:
+            starts.append(starts[-1] + 8)
+        sizes = [min(10, n - a) for a in starts]
+        weights = [max(s, 1) for s in sizes]
+        want = [sum(x * w for x, w in zip(part, weights)) / sum(weights) for part in (sizes, starts, [1.0] * len(starts))]
+        assert got[i] == pytest.approx(want), i
+
+
+def test_calls_stay_within_the_token_budget(spark, tmp_path):
+    from tidepost.functions.vectors import white_space_spans, windowed_embedding
+
+    calls = str(tmp_path / "calls")
+    df = spark.createDataFrame([(" ".join("1" for _ in range(n)),) for n in range(1, 40)], "t string").coalesce(1)
+    vector = windowed_embedding(F.col("t"), word_model(calls), lambda: white_space_spans, context=16, overlap=4, budget=64)
+    df.select(vector.alias("v")).write.format("noop").mode("overwrite").save()
+    seen = [eval(line) for line in open(calls)]
+    assert all(max(c) <= 16 and len(c) * (max(c) + 1) <= 64 for c in seen)
+    assert any(len(c) > 6 for c in seen)
+
+
+def test_templates_stand_around_each_window(spark):
+    def load():
+        import numpy as np
+        return lambda texts: np.array([[t.count("<|endoftext|>"), len(t.split())] for t in texts], dtype=float)
+
+    df = spark.createDataFrame([(" ".join(["w"] * 50),)], "desc string")
+    row = embedding.embed_documents(df, embedding.with_windows(load, context=12, overlap=1, budget=24)).first()
+    assert row.embedding[0] == 1.0 and row.embedding[1] <= 12
+    with pytest.raises(ValueError, match="overlap"):
+        embedding.with_windows(load, context=8, overlap=8)(F.col("desc"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepost.functions.text import filled
-from tidepost.functions.vectors import hashed_counts, model_embedding
-from tidepost.settings import ANCHOR_TEMPLATE, EMBED_SUFFIX, QUERY_PREFIX
+from tidepost.functions.vectors import bag_matrix, hashed_counts, model_embedding, white_space_spans, windowed_embedding
+from tidepost.settings import ANCHOR_TEMPLATE, EMBED_CONTEXT, EMBED_SUFFIX, QUERY_PREFIX
 
 Embedder = Callable[[Column], Column]
 
@@ -49,6 +50,35 @@ def with_model(load_model: Callable[[], Callable[[list[str]], np.ndarray]],
     return embed
 
 
+def with_windows(load_model: Callable[[], Callable[[list[str]], np.ndarray]],
+                 load_spans: Callable[[], Callable[[str], Sequence[tuple[int, int]]]] = lambda: white_space_spans,
+                 as_query: bool = False, context: int = EMBED_CONTEXT, overlap: int = 256,
+                 budget: int = 4 * EMBED_CONTEXT) -> Embedder:
+    """As :func:`with_model`, for texts of any length: windows of the model's context, pooled to one vector.
+
+    ``load_spans`` loads the model's own tokenizer as a function from a text to its tokens' character spans.
+    """
+
+    def embed(text: Column) -> Column:
+        return windowed_embedding(filled(text), load_model, load_spans, context=context, overlap=overlap, budget=budget,
+                                  prefix=QUERY_PREFIX if as_query else "", suffix=EMBED_SUFFIX)
+
+    return embed
+
+
+def hashed_windows(dimensions: int = 64, context: int = EMBED_CONTEXT, overlap: int = 256) -> Embedder:
+    """:func:`hashed_words` of each window, pooled: words count by what stands near them, not in the whole text."""
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        return lambda texts: bag_matrix(pa.array(texts, pa.string()), dimensions)
+
+    def embed(text: Column) -> Column:
+        return windowed_embedding(F.lower(filled(text)), load, lambda: white_space_spans, context=context, overlap=overlap,
+                                  budget=4 * context)
+
+    return embed
+
+
 def embed_documents(df: DataFrame, embedder: Embedder, text: str = "desc",
                     vector: str = "embedding") -> DataFrame:
     return df.withColumn(vector, embedder(F.col(text)))

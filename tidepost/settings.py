@@ -77,6 +77,7 @@ ANCHOR_TEMPLATE = "{text}\n\nKey Requirements:\n{criteria}"
 QUERY_PREFIX = ("Instruct: Given a query, retrieve relevant documents that answer the query\n"
                 "Query: ")
 EMBED_SUFFIX = "<|endoftext|>"
+EMBED_CONTEXT = 8192
 
 RATING_PROMPT = """You are a career advisor. Given the user's profile and criteria, and the following job details, rate how likely they would want to apply on a scale from 1 to 10.
 

@@ -255,6 +255,14 @@ ORACLES = {
     "topk_per_profile": f"""WITH {SCORED_VECTORS}, r AS (SELECT profile, vec_id, score,
         CAST(row_number() OVER (PARTITION BY profile ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
         SELECT profile, rank, vec_id, score FROM r WHERE rank <= 3""",
+    "topk_many_profiles": """WITH unit AS (
+          SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS len FROM embeddings),
+        scores AS (SELECT p.vec_id AS profile, e.vec_id,
+            coalesce(round_even(100 * list_dot_product(e.v, p.v) / nullif(e.len * p.len, 0), 2), 0) AS score
+          FROM unit e, unit p WHERE p.vec_id % 20 = 0 AND e.v IS NOT NULL AND p.v IS NOT NULL),
+        r AS (SELECT profile, vec_id, score,
+            CAST(row_number() OVER (PARTITION BY profile ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+        SELECT profile, rank, vec_id, score FROM r WHERE rank <= 3""",
     "rank_threshold": f"""WITH {SCORED_VECTORS} SELECT vec_id, similarity_score FROM wide
         WHERE similarity_score >= 10 ORDER BY similarity_score DESC, vec_id""",
     "semantic_ranking": f"""WITH {SCORED_VECTORS},
@@ -384,6 +392,17 @@ ORACLES = {
                   count(*)::DOUBLE AS c FROM tok GROUP BY ALL)
         SELECT job_id, dim, round(c / sqrt(sum(c * c) OVER (PARTITION BY job_id)), 6) AS weight FROM cells""",
 
+    "hash_embed_windows": f"""WITH {POSTINGS},
+        tok AS (SELECT job_id, list_filter(string_split_regex(lower("desc"), '[{_WS}]+'), lambda t: t <> '') AS w FROM postings),
+        n AS (SELECT job_id, w, CASE WHEN len(w) <= 256 THEN 1 ELSE CAST(ceil((len(w) - 256) / 224.0) AS BIGINT) + 1 END AS windows FROM tok),
+        win AS (SELECT job_id, i, w[i * 224 + 1:i * 224 + 256] AS w FROM (SELECT *, unnest(range(windows)) AS i FROM n)),
+        cells AS (SELECT job_id, i, size, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS dim, count(*)::DOUBLE AS c
+          FROM (SELECT job_id, i, len(w) AS size, unnest(w) AS t FROM win) GROUP BY ALL),
+        unit AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY job_id, i)) AS x FROM cells),
+        total AS (SELECT job_id, sum(len(w)) AS tokens FROM win GROUP BY job_id)
+        SELECT job_id, dim, round(sum(x * size) / any_value(tokens), 6) AS weight
+        FROM unit JOIN total USING (job_id) GROUP BY job_id, dim""",
+
     "stratified_split": f"""WITH {placed('labels', 'doc_id, quality', 'quality', 'doc_id')}
         SELECT doc_id, quality, CAST(pos <= floor(size * 0.25 + 0.5) AS INTEGER) AS is_test FROM placed""",
     "stratified_folds": f"""WITH {placed('labels', 'doc_id, quality', 'quality', 'doc_id')}

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidepost.functions import html as H
 from tidepost.functions import text as X
 from tidepost.functions.dom import Select
-from tidepost.operators import (embedding, frames, keyed, keywords, metrics, phrases, ranking, rating,
+from tidepost.operators import (embedding, frames, keyed, keywords, many_profiles, metrics, phrases, ranking, rating,
                                 scaling, similarity, terms)
 from tidepost.plans import prediction, semantic, training
 from tidepost.session import cut_lineage, scratch_path
@@ -48,6 +48,13 @@ def topk_per_profile(spark, sf_dir):
         .select("profile", "rank", "vec_id", "score")
 
 
+def topk_many_profiles(spark, sf_dir):
+    """Every twentieth vector is a profile; its three best among all vectors."""
+    vectors = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asking = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "profile")
+    return many_profiles.best_matches(vectors, asking, 3, "vec_id")
+
+
 def rank_threshold(spark, sf_dir):
     return similarity.ranked(_scored_vectors(spark, sf_dir), "vec_id", 10.0).select("vec_id", "similarity_score")
 
@@ -300,6 +307,13 @@ def hash_embed(spark, sf_dir):
         .filter("weight > 0").withColumn("weight", F.round("weight", 6))
 
 
+def hash_embed_windows(spark, sf_dir):
+    """Whole texts in windows of 256 words, 32 of them shared, pooled to one vector."""
+    vectors = embedding.embed_documents(V.postings(spark, sf_dir), embedding.hashed_windows(64, context=256, overlap=32))
+    return vectors.select("job_id", F.posexplode("embedding").alias("dim", "weight")) \
+        .filter("weight > 0").withColumn("weight", F.round("weight", 6))
+
+
 # Evaluation -----------------------------------------------------------------------------------
 
 def stratified_split(spark, sf_dir):
@@ -528,13 +542,13 @@ def predict_new(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    semantic_ranking, semantic_run, profile_scores, topk_overall, topk_per_profile, rank_threshold,
+    semantic_ranking, semantic_run, profile_scores, topk_overall, topk_per_profile, topk_many_profiles, rank_threshold,
     upsert_replace, score_update, new_ids_anti, refetch_anti, unscored_scan, evolve_schema,
     multi_query_dedupe, crawl_budget, search_filter,
     clean_text, clean_text_literal, lemma_lookup, word_count, company_in_desc, fill_defaults,
     keyword_bins, keyword_table, weighted_keywords, minmax_scaled, dedupe_subset, union_synthetic, union_sources,
     labelled_filter, class_distribution, csv_roundtrip, training_frame,
-    ngram_counts, vocabulary, idf_table, tfidf_weights, apply_tfidf, hash_embed,
+    ngram_counts, vocabulary, idf_table, tfidf_weights, apply_tfidf, hash_embed, hash_embed_windows,
     stratified_split, stratified_folds, confusion_matrix, classification_metrics, cv_metric_table,
     prediction_counts,
     page_fields, page_layouts, page_cards, html_to_text, id_from_urn, id_from_link, strip_prefix, delimited_part, posted_at_typed,
