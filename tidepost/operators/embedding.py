@@ -74,7 +74,7 @@ def hashed_windows(dimensions: int = 64, context: int = EMBED_CONTEXT, overlap:
 
     def embed(text: Column) -> Column:
         return windowed_embedding(F.lower(filled(text)), load, lambda: white_space_spans, context=context, overlap=overlap,
-                                  budget=4 * context)
+                                  budget=max(4 * context, 1 << 18))
 
     return embed
 
