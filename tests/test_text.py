@@ -1,8 +1,11 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidepost.functions import html as H
 from tidepost.functions import text as X
+from tidepost.functions import vectors
 from tidepost.operators import embedding, keywords, terms
 
 
@@ -189,3 +192,19 @@ def test_templates_stand_around_each_window(spark):
     assert row.embedding[0] == 1.0 and row.embedding[1] <= 12
     with pytest.raises(ValueError, match="overlap"):
         embedding.with_windows(load, context=8, overlap=8)(F.col("desc"))
+
+
+def test_hashed_counts_of_slices_equal_those_of_the_batch(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SLICE_BYTES", 10)
+    whole = vectors.bag_matrix
+    texts = ["red green", None, "blue " * 20, "", "red red", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = [r.v for r in df.select("id", vectors.hashed_counts(F.col("text"), 8).alias("v")).orderBy("id").collect()]
+    assert np.allclose(np.array(got), whole(pa.array(texts), 8))
+
+    def counted(texts, width):  # runs in the worker; what it saw comes back as the first entry
+        return np.full((len(texts), width), float(len(texts)))
+
+    monkeypatch.setattr(vectors, "bag_matrix", counted)
+    sizes = [r.v[0] for r in df.select("id", vectors.hashed_counts(F.col("text"), 8).alias("v")).orderBy("id").collect()]
+    assert sizes == [2.0, 2.0, 1.0, 3.0, 3.0, 3.0]

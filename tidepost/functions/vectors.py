@@ -14,6 +14,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidepost.functions.batches import slices, trimmed
+
+# Bytes of texts whose words are coded at once.
+SLICE_BYTES = 1 << 22
+
 # The functions below run in Python workers; sent by value they need no package installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -81,11 +86,16 @@ def bag_matrix(texts: pa.Array, width: int) -> np.ndarray:
 
 
 def hashed_counts(text: Column, width: int) -> Column:
-    """``array<double>``: :func:`bag_matrix` of each text."""
+    """``array<double>``: :func:`bag_matrix` of each text, over slices of a batch."""
+
+    def sliced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [bag_matrix(texts[some], width) for some in slices(pc.binary_length(texts).fill_null(0).to_numpy(), SLICE_BYTES)]
+            yield _as_lists(np.concatenate([np.zeros((0, width)), *rows]), np.arange(len(texts)), len(texts))
 
     @F.arrow_udf("array<double>")
-    def counted(texts: pa.Array) -> pa.Array:
-        return _as_lists(bag_matrix(texts, width), np.arange(len(texts)), len(texts))
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from trimmed(sliced)(batches)
 
     return counted(text)
 
