@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepost.functions import batches
 from tidepost.operators import frames, keyed, metrics, phrases, ranking, rating, scaling, similarity, terms
 
 
@@ -227,6 +228,32 @@ def test_term_counts_do_not_shuffle_exploded_terms(spark):
     assert plan.count("Exchange") == 0
 
 
+def test_grams_are_counted_in_slices_of_a_batch(spark, monkeypatch):
+    """Slices of a few words give the counts of whole rows, in both forms, and weights without a shuffle."""
+    assert [(s.start, s.stop) for s in batches.slices(np.array([5, 5, 20, 1, 0]), 10)] == [(0, 2), (2, 3), (3, 5)]
+    monkeypatch.setattr(terms, "SLICE_WORDS", 6)
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(["red", "green", "blue", "red blue"]) for _ in range(rng.choice([0, 1, 4, 30])))) for i in range(60)]
+    df = spark.createDataFrame([*texts, (60, None)], "id long, desc string").coalesce(1)
+    want = Counter()
+    for key, text in texts:
+        words = text.split()
+        for n in (1, 2, 3):
+            want.update((key, " ".join(p)) for p in zip(*[words[j:] for j in range(n)]))
+    long = [tuple(r) for r in terms.term_counts(df, "id", "desc", ngram_range=(1, 3)).collect()]
+    whole = [tuple(r) for r in terms.document_counts(df, "id", "desc", ngram_range=(1, 3)).collect()]
+    assert len(long) == len(want) and {(k, t): n for k, t, n in long} == want and len(whole) == 61
+    assert {(k, t): n for k, ts, ns in whole for t, n in zip(ts, ns)} == want
+    idf = terms.fit_idf(df, "id", "desc", max_df=1.0, max_features=5)
+    weights = terms.tfidf(df, idf, "id", "desc")
+    assert "Exchange" not in weights._jdf.queryExecution().executedPlan().toString()
+    by_term = terms.tfidf(df, idf, "id", "desc", counts=terms.term_counts(df, "id", "desc"))
+    got, other = ({(r.id, r.term): r.weight for r in x.collect()} for x in (weights, by_term))
+    assert got == pytest.approx(other)
+    monkeypatch.setattr(terms, "HELD_TERMS", 1)
+    assert {(r.id, r.term): r.weight for r in terms.tfidf(df, idf, "id", "desc").collect()} == pytest.approx(other)
+
+
 def test_frames(spark):
     empty = frames.union_sources([], T.StructType([T.StructField("x", T.StringType())]))
     assert empty.count() == 0 and empty.columns == ["x"]
