@@ -250,6 +250,10 @@ def test_grams_are_counted_in_slices_of_a_batch(spark, monkeypatch):
     by_term = terms.tfidf(df, idf, "id", "desc", counts=terms.term_counts(df, "id", "desc"))
     got, other = ({(r.id, r.term): r.weight for r in x.collect()} for x in (weights, by_term))
     assert got == pytest.approx(other)
+    twice = df.unionByName(spark.createDataFrame([(3, "red blue green"), (None, "red"), (None, "red green")], df.schema))
+    both = [sorted((r.id is None, r.id or 0, r.term, round(r.weight, 9)) for r in terms.tfidf(twice, idf, "id", "desc", counts=c).collect())
+            for c in (None, terms.term_counts(twice, "id", "desc"))]
+    assert both[0] == both[1]
     monkeypatch.setattr(terms, "HELD_TERMS", 1)
     assert {(r.id, r.term): r.weight for r in terms.tfidf(df, idf, "id", "desc").collect()} == pytest.approx(other)
 
