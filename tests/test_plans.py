@@ -68,6 +68,90 @@ def test_semantic_run_scores_only_new_rows(spark, tmp_path):
     assert (row.level, row.score_geo) == ("L", 100.0)
 
 
+def test_tables_of_single_rows_per_key_are_read_as_they_lie(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "jobs"))
+    table.upsert(postings(spark, ("a", "t1", "d", 1), ("a", "t2", "d", 2), ("b", "t", "d", 1), (None, "n1", "d", 1)))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(table.read())
+    table.upsert(postings(spark, ("a", "t3", "d", 1), (None, "n2", "d", 1)))
+    assert {(r.job_id, r.titles) for r in table.read().collect()} == {("a", "t3"), ("b", "t"), (None, "n2")}
+    assert "desc" not in plan(table.read().select("job_id", "titles"))
+    # Writes that may repeat a key, also of tables without the folders' mark, still read as one row per key.
+    table.update(spark.createDataFrame([("b", 1.0), ("b", 2.0)], "job_id string, similarity_score double"))
+    rows = {r.job_id: r for r in table.read().collect()}
+    assert table.read().count() == 3 and rows["b"].similarity_score in (1.0, 2.0) and rows["a"].titles == "t3"
+    table.upsert(postings(spark, ("b", "t9", "d", 1)))
+    assert {(r.job_id, r.titles) for r in table.read().collect()} == {("a", "t3"), ("b", "t9"), (None, "n2")}
+    table.compact()
+    table.upsert(postings(spark, ("c", "t", "d", 1)))
+    table.upsert(postings(spark, ("a", "t4", "d", 1), ("c", "t2", "d", 1)))
+    assert {(r.job_id, r.titles) for r in table.read().collect()} == {("a", "t4"), ("b", "t9"), ("c", "t2"), (None, "n2")}
+
+
+def test_semantic_run_writes_back_when_the_report_is_there(spark, tmp_path, monkeypatch):
+    schema = posting_schema(["geo"])
+    table = KeyedTable(spark, str(tmp_path / "jobs"), schema)
+    table.upsert(postings(spark, ("a", "t", "maps and grids", 1), ("b", "t", None, 1), (None, "t", "maps", 1)))
+    table.update(spark.createDataFrame([("b", 7.0)], "job_id string, similarity_score double"))
+    anchors = {"geo": [1.0] * 16}
+
+    def fails(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(semantic, "write_report", fails)
+        with pytest.raises(OSError):
+            semantic.run(table, anchors, embedder=embedding.hashed_words(16), report_folder=str(tmp_path / "out"), run_ts="1")
+    assert table.unscored().count() == 2
+    run = semantic.run(table, anchors, embedder=embedding.hashed_words(16), report_folder=str(tmp_path / "out"), run_ts="2")
+    assert {r.job_id for r in run.scores.collect()} == {"a", None}
+    back = spark.read.option("header", True).csv(run.csv_path)
+    assert [r.job_id for r in back.collect()] == ["a"]
+    assert back.columns == ["job_id", *[c for c in schema.names if c not in ("job_id", "score_geo", "similarity_score")],
+                            "score_geo", "similarity_score"]
+    rows = {r.job_id: r for r in table.read().collect()}
+    assert rows["b"].similarity_score == 7.0 and rows["a"].score_geo == run.scores.filter("job_id = 'a'").first().score_geo
+    assert rows["a"].desc == "maps and grids" and rows[None].similarity_score is None
+    number, _ = table.stage(table.unscored())
+    table.update(spark.createDataFrame([("b", 8.0)], "job_id string, similarity_score double"))
+    with pytest.raises(RuntimeError):
+        table.publish(number)
+
+
+def test_semantic_run_moves_no_text_but_for_the_report(spark, tmp_path, monkeypatch):
+    table = KeyedTable(spark, str(tmp_path / "jobs"), posting_schema(["geo"]))
+    table.upsert(postings(spark, *[(str(i), "t", "maps and grids", 1) for i in range(50)]))
+    plans = []
+    stage = KeyedTable.stage
+
+    def noted(self, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stage(self, rows)
+
+    monkeypatch.setattr(KeyedTable, "stage", noted)
+    monkeypatch.setattr(semantic, "write_report",
+                        lambda df, *_: plans.append(df._jdf.queryExecution().executedPlan().toString()))
+    semantic.run(table, {"geo": [1.0] * 16}, embedder=embedding.hashed_words(16), report_folder=str(tmp_path / "out"), run_ts="1")
+    assert plans[0].count("Exchange") == 0
+    assert plans[1].count("Exchange") == 1 and "Join" not in plans[1]  # the report's order
+
+
+def test_scores_of_a_table_with_its_own_score_type(spark, tmp_path):
+    schema = "job_id string, desc string, similarity_score float, score_geo float, scraped_at timestamp_ntz"
+    made = spark.createDataFrame([("a", "maps and grids and roads")], "job_id string, desc string")
+    table = KeyedTable(spark, str(tmp_path / "jobs"), spark.createDataFrame([], schema).schema)
+    table.upsert(made)
+    run = semantic.run(table, {"geo": [1.0] * 16}, embedder=embedding.hashed_words(16),
+                       report_folder=str(tmp_path / "out"), run_ts="1")
+    score = run.scores.first().score_geo
+    assert score == round(score, 2) and dict(run.scores.dtypes)["score_geo"] == "double"
+    assert spark.read.option("header", True).csv(run.csv_path).first().score_geo == str(score)
+    assert abs(table.read().first().score_geo - score) < 1e-4
+
+
 def test_csv_sources(spark, tmp_path):
     rows = [(0, 'a "quoted", text\nwith a break', "Caf\xe9", 1.0)]
     df = spark.createDataFrame(rows, "`Unnamed: 0` int, desc string, companies string, true_labels double")

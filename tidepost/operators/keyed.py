@@ -50,8 +50,12 @@ def _keys(incoming: DataFrame, key: str) -> DataFrame:
 
 def upsert_replace(store: DataFrame, incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Whole-row replace, last write wins; columns the new row lacks become NULL."""
-    fresh = first_per_key(incoming, [key], order, last=True)
-    kept = store.join(_keys(incoming, key), key, "left_anti")
+    return replace_rows(store, first_per_key(incoming, [key], order, last=True), _keys(incoming, key), key)
+
+
+def replace_rows(store: DataFrame, fresh: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """:func:`upsert_replace` by rows that are one per key already; ``keys`` are the keys they have."""
+    kept = store.join(keys, key, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True).select(
         *store.columns, *[c for c in fresh.columns if c not in store.columns])
 

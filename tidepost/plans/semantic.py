@@ -16,17 +16,25 @@ from tidepost.sources.csv import write_report
 from tidepost.sources.keyed_table import KeyedTable
 
 
+_VECTOR = "_embedding"
+
+
+def scored_rows(store: DataFrame, anchors: Mapping[str, Sequence[float]], embedder: Embedder | None = None,
+                text: str = "desc") -> DataFrame:
+    """The whole rows that have no score, with their scores."""
+    todo = keyed.unscored(store)
+    if embedder is None:
+        return similarity.score_profiles(todo, anchors)
+    return similarity.score_profiles(embed_documents(todo, embedder, text, _VECTOR), anchors, _VECTOR).drop(_VECTOR)
+
+
 def score_unscored(store: DataFrame, anchors: Mapping[str, Sequence[float]], key: str = "job_id",
                    embedder: Embedder | None = None, text: str = "desc") -> DataFrame:
     """Scores of the rows that have none: (key, score_<profile>..., similarity_score).
 
     Rows bring an ``embedding`` column, or an embedder makes it from their text.
     """
-    todo = keyed.unscored(store)
-    if embedder is not None:
-        todo = embed_documents(todo.select(key, text), embedder, text)
-    scored = similarity.score_profiles(todo.select(key, "embedding"), anchors)
-    return scored.select(key, *[SCORE_PREFIX + name for name in anchors], MAX_SCORE)
+    return scored_rows(store, anchors, embedder, text).select(key, *[SCORE_PREFIX + name for name in anchors], MAX_SCORE)
 
 
 def report_rows(scored: DataFrame, key: str, names: Sequence[str], overall: int = 10,
@@ -52,16 +60,26 @@ class RankingRun:
 
 def run(table: KeyedTable, anchors: Mapping[str, Sequence[float]], *, embedder: Embedder | None = None,
         report_folder: str | None = None, run_ts: str | None = None) -> RankingRun:
-    """Score the unscored rows of a keyed table, update it, and report; nothing to do is fine."""
-    names = list(anchors)
-    current = table.read()
-    scores = cut_lineage(score_unscored(current, anchors, table.key, embedder))
+    """Score the unscored rows of a keyed table, update it, and report; nothing to do is fine.
+
+    The scored rows are written once, as the table's next change, which counts when the report is there; report and
+    scores are read from it, so that no text is joined to its scores again.
+    """
+    if report_folder is not None and run_ts is None:
+        raise ValueError("a report needs an explicit run_ts")
+    names, key = list(anchors), table.key
+    columns = [*[SCORE_PREFIX + name for name in names], MAX_SCORE]
+    scored = scored_rows(table.read(), anchors, embedder)
+    # A row without a key is scored, but neither stored nor reported.
+    keyless, with_key = scored.filter(F.col(key).isNull()), scored.filter(F.col(key).isNotNull())
+    number, rows = table.stage(with_key)
+    if rows.select(columns).dtypes != with_key.select(columns).dtypes:
+        rows = with_key  # the table keeps scores in a type of its own; report and scores do not
+    scores = cut_lineage(rows.select(key, *columns).unionByName(keyless.select(key, *columns)))
     csv_path = None
     if report_folder is not None:
-        if run_ts is None:
-            raise ValueError("a report needs an explicit run_ts")
-        facts = current.drop(*[c for c in scores.columns if c != table.key])
-        ranked = similarity.ranked(facts.join(scores, table.key), table.key, None)
+        facts = [c for c in with_key.columns if c != key and c not in columns]
+        ranked = similarity.ranked(rows.select(key, *facts, *columns), key, None)
         csv_path = write_report(ranked, report_folder, run_ts)
-    table.update(scores)
-    return RankingRun(scores, report_rows(scores, table.key, names), csv_path)
+    table.publish(number)
+    return RankingRun(scores, report_rows(scores, key, names), csv_path)

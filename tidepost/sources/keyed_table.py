@@ -3,6 +3,8 @@
 ``snapshot=<n>`` holds one row per key, ``changes=<n>`` the whole new rows of one write. Reading
 lays the changes after the newest snapshot over it; writing never touches a folder that is being
 read. A write may carry a tag, and a tag counts once, which makes retried streaming batches safe.
+A folder whose writer made sure of one row per key says so in its key column's metadata; its rows are
+read as they lie, and a later write of a key is told by keys and write numbers alone.
 One writer at a time is assumed. Of several rows of a key the last written counts; a table with
 ``by_order`` goes by the declared order first, so that late older rows do not replace newer ones.
 """
@@ -19,6 +21,10 @@ from tidepost.operators import keyed
 from tidepost.operators.frames import evolve_schema
 from tidepost.settings import posting_schema
 
+# Metadata of the key column in folders that hold one row per key.
+ONE_PER_KEY = "one_row_per_key"
+_UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None,
@@ -39,19 +45,24 @@ class KeyedTable:
         snapshot = max(self._finished("snapshot"), default=-1)
         return snapshot, sorted(n for n in self._finished("changes") if n > snapshot)
 
-    def _load(self, kind: str, number: int) -> DataFrame:
-        folder = self._finished(kind)[number]
-        return self.spark.read.parquet(f"{self.path}/{folder}")
+    def _load(self, kind: str, number: int) -> tuple[DataFrame, bool]:
+        """A folder's rows, and whether it is known to hold one per key."""
+        path = f"{self.path}/{self._finished(kind)[number]}"
+        schema = self.spark.read.parquet(path).schema
+        once = ONE_PER_KEY in schema[self.key].metadata
+        plain = T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in schema])
+        return self.spark.read.schema(plain).parquet(path), once
 
     def read(self) -> DataFrame:
         """One row per key. Columns an older folder lacks are NULL; columns that only the folders
         have (from a wider schema) stay."""
         snapshot, changes = self._state()
-        base = (self._load("snapshot", snapshot) if snapshot >= 0
+        base = (self._load("snapshot", snapshot)[0] if snapshot >= 0
                 else self.spark.createDataFrame([], self.schema))
         if not changes:
             return evolve_schema(base, self.schema)
-        parts = [self._load("changes", n).withColumn("_write", F.lit(n)) for n in changes]
+        loaded = {n: self._load("changes", n) for n in changes}
+        parts = [part.withColumn("_write", F.lit(n)) for n, (part, _) in loaded.items()]
         merged = parts[0]
         for part in parts[1:]:
             merged = merged.unionByName(part, allowMissingColumns=True)
@@ -59,21 +70,61 @@ class KeyedTable:
             both = base.withColumn("_write", F.lit(-1)).unionByName(merged, allowMissingColumns=True)
             latest = keyed.first_per_key(both, [self.key], [*self.order, "_write"], last=True)
         else:
-            latest = keyed.upsert_replace(base, merged, self.key, ["_write"])
+            loose = [n for n, (_, once) in loaded.items() if not once]
+            latest = self._last_writes(merged, loose, len(changes))
+            if snapshot >= 0:
+                latest = keyed.replace_rows(base, latest, merged.select(self.key).distinct(), self.key)
         return evolve_schema(latest.drop("_write"), self.schema)
 
-    def _write(self, rows: DataFrame, tag: str | None) -> int:
+    def _last_writes(self, merged: DataFrame, loose: list[int], writes: int) -> DataFrame:
+        """The row of each key's last write. Rows of the ``loose`` writes may repeat a key within one."""
+        if loose:
+            is_loose = F.col("_write").isin(loose)
+            one = keyed.first_per_key(merged.filter(is_loose), [self.key], ["_write"], last=True)
+            merged = one if len(loose) == writes else merged.filter(~is_loose).unionByName(one)
+        if len(loose) == writes or writes == 1:
+            return merged
+        last = merged.groupBy(F.col(self.key).alias("_key")).agg(
+            F.max("_write").alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
+        outdated = F.col(self.key).eqNullSafe(F.col("_key")) & (F.col("_write") < F.col("_last"))
+        return merged.join(last, outdated, "left_anti")
+
+    def _next_number(self) -> int:
+        return max([*self._finished("changes"), *self._finished("snapshot")], default=-1) + 1
+
+    def _write(self, rows: DataFrame, tag: str | None, once: bool = False) -> int:
         """Write one change folder. A tag names the write, and a tag already written is skipped."""
-        changes = self._finished("changes")
         if tag is not None:
-            for number, name in changes.items():
+            for number, name in self._finished("changes").items():
                 if name == f"changes={number}-{tag}":
                     return number
-        number = max([*changes, *self._finished("snapshot")], default=-1) + 1
+        number = self._next_number()
         name = f"changes={number}" + (f"-{tag}" if tag is not None else "")
-        evolve_schema(rows, self.schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._in_schema(rows, once).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return number
 
+    def _in_schema(self, rows: DataFrame, once: bool) -> DataFrame:
+        """Rows as a change folder holds them; ``once``: the caller knows that no key repeats."""
+        rows = evolve_schema(rows, self.schema)
+        return rows.withMetadata(self.key, {ONE_PER_KEY: True}) if once else rows
+
+    def stage(self, rows: DataFrame) -> tuple[int, DataFrame]:
+        """Write whole new rows, one per key, as a change that does not count before it is published.
+
+        Returns its number and the rows as written. A change that is never published is overwritten by the next write.
+        """
+        number = self._next_number()
+        path = f"{self.path}/changes={number}"
+        self._in_schema(rows, once=True).write.mode("overwrite").options(**_UNMARKED).parquet(path)
+        return number, self.spark.read.schema(self._in_schema(rows, once=False).schema).parquet(path)
+
+    def publish(self, number: int) -> None:
+        """Let a staged change count: it gets the mark of a finished write."""
+        if number != self._next_number():
+            raise RuntimeError(f"{self.path} was written to after change {number} was staged")
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/changes={number}/_SUCCESS")
+        mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
     def upsert(self, rows: DataFrame, tag: str | None = None, scraped_at: object = None) -> int:
         """Replace whole rows by key; what the new row does not have is NULL afterwards.
 
@@ -85,7 +136,7 @@ class KeyedTable:
             known = known.withColumn("scraped_at", F.coalesce("scraped_at", stamp) if "scraped_at" in known.columns else stamp)
         missing = [c for c in self.order if c not in known.columns]
         known = known.withColumns({c: F.lit(None).cast(self.schema[c].dataType) for c in missing})
-        return self._write(keyed.first_per_key(known, [self.key], self.order, last=True), tag)
+        return self._write(keyed.first_per_key(known, [self.key], self.order, last=True), tag, once=True)
 
     def update(self, updates: DataFrame, tag: str | None = None) -> int:
         """Set columns of existing rows; unknown keys are ignored."""
