@@ -504,6 +504,26 @@ def test_components_of_wide_rows_equal_a_full_decomposition(spark):
     assert np.allclose(np.abs(scores[:, :2]), np.abs(u[:, :2] * values[:2]), rtol=1e-2, atol=1e-2)
 
 
+def test_components_of_a_flat_spectrum_in_few_columns(spark, monkeypatch):
+    """Many components of nearly equal variance, which power steps do not part; no step multiplies more than a few columns."""
+    rng = np.random.default_rng(11)
+    n, wide, widths = 300, 900, []
+    rows = []
+    for i in range(n):
+        at = np.sort(rng.choice(wide, 12, replace=False))
+        rows.append((i % 3, 0, i, i * 104_729, True, at.tolist(), rng.integers(1, 9, 12).astype(float).tolist(), 0.0, [], []))
+    cells = spark.createDataFrame(rows, components._CELLS).repartition(4)
+    summed = components._Range.summed
+    monkeypatch.setattr(components._Range, "summed", lambda self, rows, columns, width, *more: widths.append(width) or summed(self, rows, columns, width, *more))
+    found = components.principal_components(components.Prepared(None, cells, None, None, [n], 3, 4, components.Options(components=40)), keep=[])
+    dense = np.zeros((n, wide))
+    for r in rows:
+        dense[r[2], r[5]] = r[6]
+    values = np.linalg.svd(dense - dense.mean(axis=0), compute_uv=False) ** 2
+    assert np.allclose(found.variance[0], (values / values.sum())[:40], rtol=1e-3)
+    assert max(widths) <= components.COLUMNS and found.basis == {}
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables are not here")
 def test_registered_queries_equal_their_sql(spark):
     from __spark_entry__ import entry, oracle_sql, queries
