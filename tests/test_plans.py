@@ -263,6 +263,11 @@ def test_train_evaluate_save_and_predict(spark, tmp_path):
     assert {r.job_id: r.desirability for r in rows}["0"] == 8
 
 
+def test_deep_forests_keep_the_nodes_of_their_rows(spark):
+    (forest,) = training.classifier_stages("random_forest", 10)
+    assert forest.getCacheNodeIds() and forest.getMaxDepth() == 30 and forest.getNumTrees() == 100
+
+
 @pytest.mark.parametrize("name", ["random_forest", "boosted_trees"])
 def test_tree_ensembles_separate_the_fixture(spark, name, monkeypatch):
     df = labelled(spark, 40)
